@@ -1,0 +1,6 @@
+"""All registered queries. Importing this package fills the registry."""
+
+from seekspark.catalog.registry import ENTRIES, Tables
+from seekspark.catalog import jobs, texts  # noqa: F401
+
+__all__ = ["ENTRIES", "Tables"]

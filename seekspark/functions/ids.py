@@ -52,7 +52,9 @@ def evidence_ids(
     first = F.coalesce(page_start, page_end)
     last = F.coalesce(page_end, page_start)
     document = F.trim(document_id)
-    sections = F.filter(F.transform(section_path, F.trim), lambda name: F.length(name) > 0)
+    sections = F.filter(
+        F.transform(section_path, lambda name: F.trim(name)), lambda name: F.length(name) > 0
+    )
     locator = F.concat(F.lit("section:"), F.array_join(sections, " > "))
     pages = F.transform(
         F.sequence(first, last),

@@ -174,7 +174,7 @@ def deterministic_keywords(question: Column) -> Column:
 
 def clean_keywords(keywords: Column) -> Column:
     trimmed = F.filter(
-        F.transform(keywords, F.trim), lambda word: F.length(word) > 0
+        F.transform(keywords, lambda word: F.trim(word)), lambda word: F.length(word) > 0
     )
     return F.slice(distinct_by_fold(trimmed), 1, KEYWORD_LIMIT)
 
