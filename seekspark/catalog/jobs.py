@@ -4,7 +4,6 @@ items are attempts, customers are chunks and nations their documents."""
 from __future__ import annotations
 
 from datetime import datetime
-from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,12 +264,11 @@ def usage_records(t: Tables) -> DataFrame:
 
 
 def price_table(t: Tables) -> DataFrame:
-    rows = [
-        ("fast", Decimal("0.02"), Decimal("1"), Decimal("2")),
-        ("large", Decimal("0.025"), Decimal("3"), Decimal("6")),
-    ]
-    money = "decimal(12,6)"
-    return t.spark.createDataFrame(rows, f"model string, hit_price {money}, miss_price {money}, output_price {money}")
+    return t.spark.sql(
+        """SELECT model, CAST(h AS DECIMAL(12,6)) AS hit_price, CAST(m AS DECIMAL(12,6)) AS miss_price,
+        CAST(o AS DECIMAL(12,6)) AS output_price
+        FROM VALUES ('fast', 0.02, 1, 2), ('large', 0.025, 3, 6) AS p(model, h, m, o)"""
+    )
 
 
 @query(f"WITH {USAGE_SQL} SELECT * FROM usage")
