@@ -123,7 +123,7 @@ def _hop_inputs(t: Tables):
  pairs AS (SELECT 's' || s_suppkey AS source, 'p' || s_suppkey AS target FROM supplier UNION ALL
    SELECT 's' || s_suppkey, 's' || (s_suppkey * 7 + 1) % (SELECT count(*) FROM supplier) FROM supplier WHERE s_suppkey <> (s_suppkey * 7 + 1) % (SELECT count(*) FROM supplier)),
  h1 AS (SELECT source, target, 1 AS hops, source || '>' || target AS path FROM pairs JOIN st ON a = source AND b = target),
- h2 AS (SELECT source, target, 2 AS hops, min(source || '>' || x.b || '>' || target) AS path FROM pairs JOIN st x ON x.a = source JOIN st y ON y.a = x.b AND y.b = target GROUP BY ALL),
+ h2 AS (SELECT source, target, 2 AS hops, arg_min(source || '>' || x.b || '>' || target, [source, x.b, target]) AS path FROM pairs JOIN st x ON x.a = source JOIN st y ON y.a = x.b AND y.b = target GROUP BY ALL),
  h3 AS (SELECT source, target, 3 AS hops, arg_min(source || '>' || x.b || '>' || y.b || '>' || target, [source, x.b, y.b, target]) AS path FROM pairs JOIN st x ON x.a = source JOIN st y ON y.a = x.b JOIN st z ON z.a = y.b AND z.b = target
    WHERE (source, target) NOT IN (SELECT source, target FROM h1) AND (source, target) NOT IN (SELECT source, target FROM h2) GROUP BY ALL),
  best AS (SELECT source, target, arg_min(path, hops) AS path FROM (FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY ALL),
@@ -377,9 +377,7 @@ def document_segments(t: Tables) -> DataFrame:
     """Cleaned paragraphs of every document, the language as section, ten per page."""
     from seekspark.functions.text import clean_text
 
-    blocks = F.filter(
-        F.transform(paragraphs(clean_text(F.col("text"))), lambda b: b), lambda b: F.length(b) > 0
-    )
+    blocks = paragraphs(clean_text(F.col("text")))
     return t.documents.select(
         F.col("doc_id").cast("string").alias("document_id"), "lang", blocks.alias("blocks")
     ).select(

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from seekspark.functions.ids import canonical_json_hash, sha256_text, stable_id
 from seekspark.functions.text import clean_text
 from seekspark.operators.quality import quality_class
-from seekspark.scale import let
+from seekspark.scale import computed_once, let
 
 # --- fixed values: they are part of the chunk identity ------------------------
 CHUNKER_NAME = "section-token-chunker"
@@ -196,7 +196,8 @@ def chunk_spans(
             s["section_path"].alias("section_path"),
         ),
     )
-    return run(text, offsets)
+    # Not deterministic for the optimizer: the call must not be copied into filters.
+    return run.asNondeterministic()(text, offsets)
 
 
 def pages_of_span(segments: Column, start: Column, stop: Column) -> Column:
@@ -225,10 +226,11 @@ def chunk_documents(
     if max_tokens < 1 or not 0 <= overlap_tokens < max_tokens:
         raise ValueError("need max_tokens >= 1 and 0 <= overlap_tokens < max_tokens")
     config = canonical_json_hash(chunker_config(tokenizer, max_tokens, overlap_tokens))
-    placed = documents.select(
-        "document_id",
-        place_segments(F.col("segments")).alias("segments"),
-        F.array_join(F.transform("segments", lambda s: s["text"]), "\n\n").alias("body"),
+    given = documents.select("document_id", F.col("segments").alias("given"))
+    placed = computed_once(
+        computed_once(given, kept=F.col("given")),
+        segments=place_segments(F.col("kept")),
+        body=F.array_join(F.transform("kept", lambda s: s["text"]), "\n\n"),
     ).where(F.length("body") > 0)
     spans = chunk_spans(F.col("body"), F.col("segments"), count, max_tokens, overlap_tokens)
     cut = placed.withColumn("spans", spans).select(

@@ -20,9 +20,10 @@ COPYRIGHT = (
     r"(?i)(?:©|copyright|all rights reserved|permission to (?:copy|reproduce)|"
     r"provided proper attribution|版权所有|保留所有权利)"
 )
-BOILERPLATE = (
-    r"(?is)(?=.*\bCVPR paper\b)(?=.*\bOpen Access version\b)"
-    r"(?=.*\bComputer Vision Foundation\b)"
+BOILERPLATE = (  # all of them
+    r"(?i)\bCVPR paper\b",
+    r"(?i)\bOpen Access version\b",
+    r"(?i)\bComputer Vision Foundation\b",
 )
 AFFILIATION = (
     r"(?i)(?:\b(?:university|institute|department|laboratory|research lab|equal contribution)\b|"
@@ -48,13 +49,16 @@ def quality_class(
     def in_section(wanted: list[str]) -> Column:
         return F.arrays_overlap(names, F.array(*[F.lit(name) for name in wanted]))
 
+    boilerplate = text.rlike(BOILERPLATE[0])
+    for phrase in BOILERPLATE[1:]:
+        boilerplate = boilerplate & text.rlike(phrase)
     front = (ordinal <= 1) & (page_start.isNull() | (page_start == 1)) & (F.size(section_path) == 0)
     return (
         F.when(in_section(REFERENCE_SECTIONS), "references")
         .when(in_section(ACKNOWLEDGEMENT_SECTIONS), "acknowledgements")
         .when(in_section(VISUALIZATION_SECTIONS), "visualization_label")
         .when(_occurrences(text, REFERENCE_ENTRY) >= 3, "references")
-        .when(text.rlike(COPYRIGHT) | text.rlike(BOILERPLATE), "copyright")
+        .when(text.rlike(COPYRIGHT) | boilerplate, "copyright")
         .when(front & (_occurrences(text, AFFILIATION) >= 2), "author_affiliation")
         .when(text.rlike(VISUALIZATION), "visualization_label")
         .otherwise("normal")

@@ -21,6 +21,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, which the optimizer cannot inline or repeat.
+
+    Use it for expensive values that several later expressions refer to.
+    """
+    named = [value.alias(name) for name, value in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*named))))
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than it needs."""
     return df.limit(max_rows + 1).count() <= max_rows
