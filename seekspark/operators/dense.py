@@ -40,18 +40,29 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return flat.reshape(len(column), dimensions)
 
 
+def collect_queries(queries: DataFrame, dimensions: int) -> pd.DataFrame | None:
+    """The query vectors when they are small enough to ship, else None."""
+    rows = max(MAX_QUERY_VALUES // dimensions, 1)
+    head = queries.select("query_id", "embedding").limit(rows + 1).toPandas()
+    return head if len(head) <= rows else None
+
+
 def dense_top_k(
-    vectors: DataFrame, queries: DataFrame, k: int, dimensions: int
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    dimensions: int,
+    collected: pd.DataFrame | None = None,
 ) -> DataFrame:
     """Rank ``vectors(object_id, embedding)`` by cosine for ``queries(query_id, embedding)``.
 
     Output ``query_id, object_id, score, rank``. No pair of rows crosses a shuffle:
     each task keeps k candidates per query, and only those are exchanged. A query
-    set too large to ship is cut into hash blocks and joined block by block.
+    set too large to ship is cut into hash blocks and joined block by block. Callers
+    that rank several tables pass the queries they ``collected`` once.
     """
-    query_rows = max(MAX_QUERY_VALUES // dimensions, 1)
-    head = queries.select("query_id", "embedding").limit(query_rows + 1).toPandas()
-    if len(head) <= query_rows:
+    head = collected if collected is not None else collect_queries(queries, dimensions)
+    if head is not None:
         local = _local_candidates(vectors, head, k, dimensions)
     else:
         local = _block_candidates(vectors, queries, k, dimensions)

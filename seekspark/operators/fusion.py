@@ -183,50 +183,75 @@ def best_path_per_key(paths: DataFrame) -> DataFrame:
     )
 
 
-def inject_paths(paths: DataFrame, path_limit: int) -> DataFrame:
-    """Chunk scores from multi-hop paths, bounded per query: the first path wins a chunk.
+def inject_paths(paths: DataFrame, path_chunks: DataFrame, path_limit: int) -> DataFrame:
+    """Chunk scores from multi-hop paths: the first path in order wins a chunk.
 
-    Every query has at most fifteen endpoint pairs, so the fold state is bounded;
-    the loop stops when the path or the chunk limit is reached.
+    ``paths(query_id, node_ids, relation_ids, score)`` and ``path_chunks(query_id,
+    relation_ids, object_id)``. At most ``path_limit`` chunks per query. Every path
+    that counts adds a chunk, so the chunk limit also bounds the paths.
     """
-    eligible = paths.where(
-        (F.size("relation_ids") >= 2) & (F.col("score") > 0) & (F.size("source_chunk_ids") > 0)
+    order = Window.partitionBy("query_id").orderBy(
+        F.round("score", SCORE_DIGITS).desc(), "node_ids", "relation_ids"
     )
-    ordered = eligible.groupBy("query_id").agg(
+    eligible = paths.where((F.size("relation_ids") >= 2) & (F.col("score") > 0)).withColumn(
+        "path_rank", F.row_number().over(order)
+    )
+    # The first path_limit chunks of a path may all be taken by earlier paths, which
+    # take at most path_limit; twice that many are enough for an exact result.
+    per_path = Window.partitionBy("query_id", "relation_ids").orderBy("object_id")
+    near = path_chunks.withColumn("place", F.row_number().over(per_path)).where(
+        F.col("place") <= 2 * path_limit
+    )
+    first = (
+        near.join(eligible, ["query_id", "relation_ids"])
+        .groupBy("query_id", "object_id")
+        .agg(F.min(F.struct("path_rank", "score")).alias("best"))
+        .select("query_id", "object_id", "best.path_rank", "best.score")
+    )
+    taken = Window.partitionBy("query_id").orderBy("path_rank", "object_id")
+    return (
+        first.withColumn("place", F.row_number().over(taken))
+        .where(F.col("place") <= path_limit)
+        .select("query_id", "object_id", "score")
+    )
+
+
+def document_anchors(candidates: DataFrame, limit: int) -> DataFrame:
+    """One anchor per sub-question whose document no earlier anchor covers.
+
+    ``candidates(query_id, part, part_rank, object_id, document_id, score)`` hold the
+    top of each sub-ranking, so the array folded per query stays below 3 x depth.
+    """
+    packed = candidates.groupBy("query_id", "part").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
-                    (-F.col("score")).alias("negative"),
-                    "node_ids",
-                    "relation_ids",
-                    "source_chunk_ids",
+                    (-F.round("score", SCORE_DIGITS)).alias("negative"),
+                    "part_rank", "object_id", "document_id",
                 )
             )
-        ).alias("paths")
+        ).alias("choices")
     )
-    limit = F.lit(path_limit)
+    parts = packed.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("part", "choices"))).alias("parts")
+    )
+    none = F.array().cast("array<string>")
 
-    def take(state: Column, path: Column) -> Column:
-        room = F.greatest(limit - F.size(state["ids"]), F.lit(0))
-        fresh = F.slice(F.array_except(path["source_chunk_ids"], state["ids"]), F.lit(1), room)
-        live = (state["taken"] < limit) & (F.size(fresh) > 0)
-        added = F.when(live, fresh).otherwise(F.array().cast("array<string>"))
-        score = -path["negative"]
+    def step(state: Column, part: Column) -> Column:
+        free = F.filter(
+            part["choices"], lambda c: ~F.array_contains(state["documents"], c["document_id"])
+        )
+        pick = F.try_element_at(free, F.lit(1))
+        take = pick.isNotNull() & (F.size(state["ids"]) < limit)
         return F.struct(
-            F.concat(state["ids"], added).alias("ids"),
-            F.concat(state["scores"], F.transform(added, lambda _: score)).alias("scores"),
-            (state["taken"] + F.when(live, 1).otherwise(0)).alias("taken"),
+            F.concat(state["ids"], F.when(take, F.array(pick["object_id"])).otherwise(none)).alias("ids"),
+            F.concat(
+                state["documents"], F.when(take, F.array(pick["document_id"])).otherwise(none)
+            ).alias("documents"),
         )
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("ids"),
-        F.array().cast("array<double>").alias("scores"),
-        F.lit(0).alias("taken"),
-    )
-    folded = ordered.select("query_id", F.aggregate("paths", start, take).alias("state"))
+    start = F.struct(none.alias("ids"), none.alias("documents"))
+    folded = parts.select("query_id", F.aggregate("parts", start, step)["ids"].alias("ids"))
     return folded.select(
-        "query_id",
-        F.explode(F.arrays_zip(F.col("state.ids"), F.col("state.scores"))).alias("hit"),
-    ).select(
-        "query_id", F.col("hit.ids").alias("object_id"), F.col("hit.scores").alias("score")
+        "query_id", F.posexplode("ids").alias("anchor_rank", "object_id")
     )
