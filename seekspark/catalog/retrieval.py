@@ -236,9 +236,9 @@ def additive_route_fusion(t: Tables) -> DataFrame:
     routes = base.select(
         "query_id", "object_id",
         F.inline(F.array(
-            F.struct(F.lit("lexical").alias("route"), F.col("score")),
-            F.struct(F.lit("size"), F.length("object_id").cast("double")),
-            F.struct(F.lit("unused"), F.col("score")),
+            F.struct(F.lit("lexical").alias("route"), F.col("score").alias("score")),
+            F.struct(F.lit("size").alias("route"), F.length("object_id").cast("double").alias("score")),
+            F.struct(F.lit("unused").alias("route"), F.col("score").alias("score")),
         )),
     )
     fused = weighted_fusion(routes, {"lexical": 1.5, "size": 0.5, "unused": 0.0})

@@ -16,7 +16,7 @@ def deterministic_answers(retrieval: Retrieval) -> DataFrame:
         "query_id", F.col("object_id").alias("citation"), "text"
     )
     none = F.array().cast("array<string>")
-    return retrieval.questions.join(first, "query_id", "left").select(
+    return retrieval.questions.select("query_id").join(first, "query_id", "left").select(
         "query_id",
         F.coalesce("text", F.lit(INSUFFICIENT)).alias("answer"),
         F.when(F.col("citation").isNull(), none).otherwise(F.array("citation")).alias("citations"),

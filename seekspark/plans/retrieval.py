@@ -24,7 +24,7 @@ from seekspark.operators.graph import adjacency, shortest_paths
 from seekspark.operators.lexical import bm25_top_k
 from seekspark.plans.indexing import Index
 from seekspark.plans.options import RetrievalOptions, active_routes
-from seekspark.scale import small_side
+from seekspark.scale import cut_lineage, small_side
 
 RELATION_DECAY = 0.9
 PATH_ENDPOINTS = 6
@@ -112,7 +112,8 @@ def chunk_route(asked: _Asked, mode: str, options: RetrievalOptions) -> Route:
         corpus = index.chunks.select("object_id", F.col("embedding_text").alias("text"))
         lexical = bm25_top_k(corpus, asked.texts, limit, options.bm25_k1, options.bm25_b, index.postings)
         parts.append(lexical.select(*columns, F.lit("bm25").alias("scorer")))
-    scores = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # At most 2 x limit rows per question: stored once, then read by every later step.
+    scores = cut_lineage(_union(parts))
     fused = weighted_average_fusion(scores, weights)
     return Route(chunks=fused.select(*columns), details=fused)
 
@@ -138,7 +139,8 @@ def _relation_ends(index: Index) -> DataFrame:
 def local_route(asked: _Asked, options: RetrievalOptions) -> Route:
     """Top entities, their chunks, and at 0.9 of the score their relations' chunks."""
     index = asked.index
-    entities = asked.top(index.entities, options.route_limit).select("query_id", "object_id", "score")
+    top = asked.top(index.entities, options.route_limit)
+    entities = cut_lineage(top.select("query_id", "object_id", "score"))
     around = adjacency(_relation_ends(index)).join(
         small_side(entities.withColumnRenamed("object_id", "entity_id")), "entity_id"
     )
@@ -156,7 +158,8 @@ def local_route(asked: _Asked, options: RetrievalOptions) -> Route:
 def global_route(asked: _Asked, options: RetrievalOptions) -> Route:
     """Top relations, their chunks, and their end points with the best score."""
     index = asked.index
-    relations = asked.top(index.relations, options.route_limit).select("query_id", "object_id", "score")
+    top = asked.top(index.relations, options.route_limit)
+    relations = cut_lineage(top.select("query_id", "object_id", "score"))
     ends = adjacency(_relation_ends(index)).join(
         small_side(relations.withColumnRenamed("object_id", "relation_id")), "relation_id"
     )
@@ -192,10 +195,12 @@ def graph_paths(index: Index, routes: dict[str, Route], options: RetrievalOption
     pairs = left.join(right, "query_id").where("r1 < r2").select(
         "query_id", "source", "target", F.least("s1", "s2").alias("score")
     )
-    found = shortest_paths(pairs, _relation_ends(index), options.graph_max_hops)
-    return pairs.join(small_side(found), ["source", "target"]).groupBy("query_id", "relation_ids").agg(
+    pairs = cut_lineage(pairs)
+    found = cut_lineage(shortest_paths(pairs, _relation_ends(index), options.graph_max_hops))
+    best = pairs.join(small_side(found), ["source", "target"]).groupBy("query_id", "relation_ids").agg(
         F.max_by(F.struct("node_ids", "score"), F.round("score", SCORE_DIGITS)).alias("best")
-    ).select("query_id", "relation_ids", "best.node_ids", "best.score")
+    )
+    return best.select("query_id", "relation_ids", "best.node_ids", "best.score")
 
 
 def path_scores(index: Index, paths: DataFrame, options: RetrievalOptions) -> DataFrame:
@@ -210,8 +215,10 @@ def path_scores(index: Index, paths: DataFrame, options: RetrievalOptions) -> Da
     return inject_paths(paths, valid, options.path_limit)
 
 
-def subquestion_route(index: Index, questions: DataFrame, options: RetrievalOptions) -> DataFrame:
-    """Hybrid scores of the sub-questions of explicit comparisons.
+def subquestion_route(
+    index: Index, questions: DataFrame, options: RetrievalOptions
+) -> DataFrame | None:
+    """Hybrid scores of the sub-questions of explicit comparisons, None without any.
 
     Output ``query_id, part, parts, object_id, score``.
     """
@@ -221,11 +228,14 @@ def subquestion_route(index: Index, questions: DataFrame, options: RetrievalOpti
     keyed = parts.withColumn("parent", F.col("query_id")).withColumn(
         "query_id", F.concat_ws("\x1f", "query_id", F.col("part").cast("string"))
     )
+    if keyed.isEmpty():
+        return None
     route = chunk_route(_Asked(index, keyed), "hybrid", options)
     names = keyed.select("query_id", "parent", "part", "parts")
-    return route.chunks.join(small_side(names), "query_id").select(
+    found = route.chunks.join(small_side(names), "query_id").select(
         F.col("parent").alias("query_id"), "part", "parts", "object_id", "score"
     )
+    return cut_lineage(found)
 
 
 def fuse(
@@ -404,7 +414,7 @@ def retrieve(
     if composite:
         paths = graph_paths(index, routes, options)
         if options.graph_path_weight > 0.0:
-            injected = path_scores(index, paths, options)
+            injected = cut_lineage(path_scores(index, paths, options))
         if options.multi_context_weight > 0.0:
             subs = subquestion_route(index, ready, options)
         fused = fuse(routes, options.route_weights, injected, subs, options)
@@ -416,20 +426,23 @@ def retrieve(
         )
     limit = options.rerank_limit if options.rerank else options.top_k
     if subs is not None:
-        anchors = _anchors(index, subs, fused, limit, options)
+        anchors = cut_lineage(_anchors(index, subs, fused, limit, options))
         candidates = top_k_with_anchors(fused, anchors, limit)
     else:
         candidates = top_k(fused, limit, ["query_id"])
     rerank_table = None
     if options.rerank:
-        rerank_table = apply_reranker(candidates, ready, index, reranker)
+        rerank_table = cut_lineage(apply_reranker(candidates, ready, index, reranker))
         final = rerank_table
         hits = top_k_with_anchors(final, anchors, options.top_k) if anchors is not None else top_k(final, options.top_k, ["query_id"])
         hits = hits.withColumnRenamed("prior_score", "retrieval_score").withColumn("rerank_score", F.col("score"))
     else:
         hits = candidates.withColumn("retrieval_score", F.col("score")).withColumn("rerank_score", F.lit(None).cast("double"))
-    hits = hits.select(
-        "query_id", "rank", "object_id", "score", "raw_score", "retrieval_score", "rerank_score", "components"
+    hits = cut_lineage(
+        hits.select(
+            "query_id", "rank", "object_id", "score", "raw_score", "retrieval_score",
+            "rerank_score", "components",
+        )
     )
     context = assemble_context(hits, anchors, index, options)
     return Retrieval(
