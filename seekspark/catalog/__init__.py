@@ -1,6 +1,6 @@
 """All registered queries. Importing this package fills the registry."""
 
 from seekspark.catalog.registry import ENTRIES, Tables
-from seekspark.catalog import evaluation, graphs, jobs, retrieval, texts  # noqa: F401
+from seekspark.catalog import evaluation, graphs, jobs, retrieval, sources, texts  # noqa: F401
 
 __all__ = ["ENTRIES", "Tables"]
