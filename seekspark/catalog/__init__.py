@@ -1,6 +1,8 @@
 """All registered queries. Importing this package fills the registry."""
 
 from seekspark.catalog.registry import ENTRIES, Tables
-from seekspark.catalog import evaluation, graphs, jobs, retrieval, sources, texts  # noqa: F401
+from seekspark.catalog import (  # noqa: F401
+    evaluation, graphs, jobs, retrieval, runs, sources, texts,
+)
 
 __all__ = ["ENTRIES", "Tables"]
