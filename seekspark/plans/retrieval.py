@@ -242,31 +242,43 @@ def fuse(
     routes: dict[str, Route], weights: dict[str, float], paths: DataFrame | None,
     subs: DataFrame | None, options: RetrievalOptions,
 ) -> DataFrame:
-    """``query_id, object_id, score, raw_score, components``: all signals added.
+    """``query_id, object_id, score, raw_score`` and one column per signal, all added.
 
-    Every signal is a long table of components; one aggregate per (question, chunk)
-    adds them, so no wide outer join is needed.
+    Every signal is a long table; one hash aggregate per (question, chunk) adds them, so
+    no wide outer join is needed and nothing is collected per chunk.
     """
-    columns = ["query_id", "object_id", "component", "value", "raw"]
     frames = []
+
+    def add(scores: DataFrame, component: Column, weight: Column | float) -> None:
+        scaled = min_max(scores.withColumn("component", component), ["query_id", "component"])
+        value = (F.col("normalized") * weight).alias("value")
+        frames.append(scaled.select("query_id", "object_id", "component", value, F.col("score").alias("raw")))
+
+    names = list(routes)
     for name, route in routes.items():
-        scaled = min_max(route.chunks.withColumn("component", F.lit(name)), ["query_id", "component"])
-        value = F.col("normalized") * weights[name]
-        frames.append(scaled.select("query_id", "object_id", "component", value.alias("value"), F.col("score").alias("raw")))
+        add(route.chunks.select("query_id", "object_id", "score"), F.lit(name), weights[name])
     if paths is not None:
-        scaled = min_max(paths.withColumn("component", F.lit("graph_path")), ["query_id", "component"])
-        value = F.col("normalized") * options.graph_path_weight
-        frames.append(scaled.select("query_id", "object_id", "component", value.alias("value"), F.col("score").alias("raw")))
+        names.append("graph_path")
+        add(paths, F.lit("graph_path"), options.graph_path_weight)
     if subs is not None:
+        names += [f"multi_context_{i}" for i in (1, 2, 3)]
         label = F.concat(F.lit("multi_context_"), (F.col("part") + 1).cast("string"))
-        scaled = min_max(subs.withColumn("component", label), ["query_id", "component"])
-        value = F.col("normalized") * (options.multi_context_weight / F.col("parts"))
-        frames.append(scaled.select("query_id", "object_id", "component", value.alias("value"), F.col("score").alias("raw")))
-    return _union([f.select(*columns) for f in frames]).groupBy("query_id", "object_id").agg(
+        add(subs, label, options.multi_context_weight / F.col("parts"))
+    return _union(frames).groupBy("query_id", "object_id").agg(
         F.sum("value").alias("score"),
         F.max("raw").alias("raw_score"),
-        F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("components"),
+        *[F.max(F.when(F.col("component") == n, F.col("value"))).alias(f"part_{n}") for n in names],
+    )
+
+
+def component_map(scored: DataFrame) -> DataFrame:
+    """Replace the signal columns of the few selected rows by one map of present signals."""
+    parts = [c for c in scored.columns if c.startswith("part_")]
+    entries = F.array(
+        *[F.struct(F.lit(c.removeprefix("part_")).alias("key"), F.col(c).alias("value")) for c in parts]
     )
+    present = F.filter(entries, lambda e: e["value"].isNotNull())
+    return scored.withColumn("components", F.map_from_entries(present)).drop(*parts)
 
 
 def route_trace(routes: dict[str, Route]) -> DataFrame:
@@ -422,7 +434,7 @@ def retrieve(
         own = routes[mode].chunks
         fused = own.select(
             "query_id", "object_id", "score", F.col("score").alias("raw_score"),
-            F.create_map(F.lit(mode), "score").alias("components"),
+            F.col("score").alias(f"part_{mode}"),
         )
     limit = options.rerank_limit if options.rerank else options.top_k
     if subs is not None:
@@ -430,6 +442,7 @@ def retrieve(
         candidates = top_k_with_anchors(fused, anchors, limit)
     else:
         candidates = top_k(fused, limit, ["query_id"])
+    candidates = cut_lineage(component_map(candidates))
     rerank_table = None
     if options.rerank:
         rerank_table = cut_lineage(apply_reranker(candidates, ready, index, reranker))
