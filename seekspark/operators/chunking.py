@@ -98,8 +98,15 @@ class _Splitter:
         return self.count(head + text) <= self.max_tokens
 
     def cut(self, text: str, start: int, stop: int, section: tuple) -> int:
-        """End of the longest fitting prefix, moved back to a late natural boundary."""
-        low, high = start + 1, stop
+        """``stop`` if everything fits, else the longest fitting prefix moved back to a
+        late natural boundary. Probes grow from small, so long texts are not recounted."""
+        low, width = start + 1, 4 * self.max_tokens
+        while start + width < stop and self.fits(text[start : start + width], section):
+            low, width = start + width, 2 * width
+        high = min(start + width, stop)
+        if high == stop and self.fits(text[start:stop], section):
+            return stop
+        high -= 1
         while low < high:
             middle = (low + high + 1) // 2
             if self.fits(text[start:middle], section):
@@ -117,7 +124,10 @@ class _Splitter:
         """Start of the longest suffix within the overlap budget, at a word start."""
         if self.overlap <= 0:
             return stop
-        low, high = start, stop
+        width, high = 4 * self.overlap, stop
+        while stop - width > start and self.count(text[stop - width : stop]) <= self.overlap:
+            high, width = stop - width, 2 * width
+        low = max(stop - width, start)
         while low < high:
             middle = (low + high) // 2
             if self.count(text[middle:stop]) <= self.overlap:
@@ -142,7 +152,7 @@ class _Splitter:
             ):
                 raise ValueError("section heading consumes the entire chunk token budget")
             while begin < end:
-                stop = end if self.fits(text[begin:end], section) else self.cut(text, begin, end, section)
+                stop = self.cut(text, begin, end, section)
                 first, last = self.trimmed(text, begin, stop)
                 if first < last:
                     yield first, last, section
