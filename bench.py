@@ -26,8 +26,8 @@ RETRIEVAL = [
 ]
 OTHERS = [
     "lexical_statistics", "cleaned_documents", "document_chunks", "quality_classes",
-    "context_matches", "lexical_macro_means", "shared_line_components", "entity_degree_table",
-    "shortest_graph_paths", "resolved_entities", "run_counter_report", "pending_job_list",
+    "context_matches", "shared_line_components", "entity_degree_table",
+    "resolved_entities", "run_counter_report", "pending_job_list",
     "cost_estimates", "agent_run_metrics",
 ]
 
