@@ -309,3 +309,20 @@ def related_documents(t: Tables) -> DataFrame:
 
     found = metrics.related_context(terms(t.benchmark, "item_id"), terms(t.documents, "doc_id"))
     return rounded(found.drop("group_id"), "jaccard")
+
+
+@query("""WITH RECURSIVE c AS (SELECT source AS document_id, doc_id AS context_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents),
+ n AS (SELECT document_id, count(*) AS n, row_number() OVER (ORDER BY document_id) - 1 AS turn FROM c GROUP BY 1), d AS (SELECT count(*) AS k FROM n),
+ k AS (SELECT 0 AS number, 'single_hop' AS question_type, i AS off, 0 AS draw, i + 1 AS case_index FROM range(30) r(i) UNION ALL SELECT 1, 'summary_reasoning', i, w, 31 + i FROM range(10) r(i), range(2) s(w)
+   UNION ALL SELECT 2, 'multi_context', i, 0, 41 + i FROM range(10) r(i) UNION ALL SELECT 3, 'unanswerable', i, 0, 51 + i FROM range(10) r(i)),
+ p AS (SELECT k.*, n.document_id, (row_number() OVER (PARTITION BY document_id ORDER BY number, off, draw) - 1) % n AS place, o FROM k, d JOIN n ON true LEFT JOIN (SELECT turn AS t2, document_id AS o FROM n) z ON z.t2 = (k.off + 1) % d.k WHERE n.turn = k.off % d.k)
+SELECT CAST(case_index AS INTEGER) AS case_index, question_type, CAST(draw AS INTEGER) AS draw, p.document_id, context_id, CASE WHEN question_type = 'multi_context' THEN o END AS other_document FROM p JOIN c ON c.document_id = p.document_id AND c.place = p.place""")
+def case_plan(t: Tables) -> DataFrame:
+    """Sixty planned cases over all sources, documents as their contexts."""
+    from pyspark.sql import Window
+
+    from seekspark.operators.planning import plan_contexts
+
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    contexts = t.documents.select(F.col("source").alias("document_id"), place.alias("place"), F.col("doc_id").alias("context_id"))
+    return plan_contexts(contexts, 60)

@@ -456,7 +456,7 @@ def related_context(primaries: DataFrame, candidates: DataFrame) -> DataFrame:
         (F.col("common") / (F.col("left_size") + F.col("right_size") - F.col("common"))).alias("jaccard"),
     )
     best = scored.groupBy("group_id", "left_id").agg(
-        F.max_by(F.struct("right_id", "jaccard"), F.struct(F.round("jaccard", 12), -F.col("right_id"))).alias("best")
+        F.min_by(F.struct("right_id", "jaccard"), F.struct(-F.round("jaccard", 12), F.col("right_id"))).alias("best")
     )
     fallback = rights.groupBy("group_id").agg(F.min("right_id").alias("smallest"))
     return (
