@@ -24,3 +24,20 @@ def op6_best_fit_packing(spark, table):
     from seekspark.llm.packing import pack_documents
 
     return pack_documents(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_language_id(spark, table):
+    from seekspark.llm.frames import id_bucket
+    from seekspark.llm.language import identify_languages, train_filters
+
+    docs = table("documents").withColumn("held_out", id_bucket("doc_id", 4) == 2)
+    filters = train_filters(docs.where("not held_out"))
+    return identify_languages(docs, filters, "doc_id", "held_out")
+
+
+@query
+def op3_quality_classifier(spark, table):
+    from seekspark.llm.quality import quality_scores
+
+    return quality_scores(table("documents"), table("labels"))
