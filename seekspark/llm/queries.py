@@ -41,3 +41,13 @@ def op3_quality_classifier(spark, table):
     from seekspark.llm.quality import quality_scores
 
     return quality_scores(table("documents"), table("labels"))
+
+
+@query
+def op10_toxicity(spark, table):
+    from seekspark.llm.frames import id_bucket
+    from seekspark.llm.toxicity import toxicity_scores, train_toxicity
+
+    docs = table("documents").withColumn("held_out", id_bucket("doc_id", 5) == 0)
+    model = train_toxicity(docs, table("labels"), id_bucket("doc_id", 5) != 0)
+    return toxicity_scores(docs, model, "doc_id", "held_out")
