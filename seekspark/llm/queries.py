@@ -51,3 +51,10 @@ def op10_toxicity(spark, table):
     docs = table("documents").withColumn("held_out", id_bucket("doc_id", 5) == 0)
     model = train_toxicity(docs, table("labels"), id_bucket("doc_id", 5) != 0)
     return toxicity_scores(docs, model, "doc_id", "held_out")
+
+
+@query
+def op5_html_extraction(spark, table):
+    from seekspark.llm.html_text import extract_main_text
+
+    return extract_main_text(table("pages"))
