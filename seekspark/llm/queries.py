@@ -58,3 +58,10 @@ def op5_html_extraction(spark, table):
     from seekspark.llm.html_text import extract_main_text
 
     return extract_main_text(table("pages"))
+
+
+@query
+def op4_order_minhash(spark, table):
+    from seekspark.llm.neardup import near_duplicate_classes
+
+    return near_duplicate_classes(table("documents"))
