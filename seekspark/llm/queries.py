@@ -65,3 +65,19 @@ def op4_order_minhash(spark, table):
     from seekspark.llm.neardup import near_duplicate_classes
 
     return near_duplicate_classes(table("documents"))
+
+
+@query
+def op1_nearest_neighbours(spark, table):
+    from pyspark.sql import functions as F
+
+    from seekspark.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table("embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
+@query
+def op7_subspace_join(spark, table):
+    from seekspark.llm.similarity_join import linked_vectors
+
+    return linked_vectors(table("embeddings"), "vec_id", "embedding")
