@@ -21,7 +21,7 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.coalesce(value, F.lit(-1)).cast("int")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Like ``checkpoint()`` it cuts the lineage and survives lost executors; columnar
@@ -29,5 +29,5 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -81,3 +81,12 @@ def op7_subspace_join(spark, table):
     from seekspark.llm.similarity_join import linked_vectors
 
     return linked_vectors(table("embeddings"), "vec_id", "embedding")
+
+
+@query
+def op9_hidden_markov(spark, table):
+    from seekspark.llm.frames import id_bucket
+    from seekspark.llm.hidden_markov import STATES, score_texts
+
+    docs = table("documents").withColumn("held_out", id_bucket("doc_id", 7) == 2)
+    return score_texts(docs, id_bucket("doc_id", 7) != 2, STATES, "doc_id", "held_out")
