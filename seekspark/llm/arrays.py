@@ -101,12 +101,20 @@ def mix(value: np.ndarray) -> np.ndarray:
     return value
 
 
+class SpanHashes:
+    """64-bit hashes of any spans of ``values``, from one prefix sum."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(max(4, int(len(values)).bit_length()))
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of ``values[start:end]`` for every span, by one prefix sum."""
-    up, down = _powers(max(4, int(len(values)).bit_length()))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return SpanHashes(values).of(start, end)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
