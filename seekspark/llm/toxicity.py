@@ -310,13 +310,14 @@ def toxicity_evidence(docs: DataFrame, model: ToxicityModel, *keep: str) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in arrays.slices(batches):
+        for part in arrays.slices(batches, "scored_text"):
             evidence = _evidence(part.column(0), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[1:], pa.array(evidence)], names=[*part.schema.names[1:], "evidence"]
             )
 
-    return docs.select("text", *keep).mapInArrow(run, docs.select(*keep).schema.add("evidence", "double"))
+    text = docs["text"].alias("scored_text")
+    return docs.select(text, *keep).mapInArrow(run, docs.select(*keep).schema.add("evidence", "double"))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
