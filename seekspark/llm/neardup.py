@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import arrays
@@ -26,6 +26,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 SKETCH_SIZE = 4
+# Members of a group that one task compares with as many others.
+CHUNK = 256
 
 
 def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,42 +114,59 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return common / (n + m - common)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One 64-bit digest and the number of the shingles of each row, beside its id."""
-    for part in arrays.slices(batches):
-        shingle, at = shingles(part.column(1))
-        place = np.arange(len(shingle)) - np.repeat(at[:-1], np.diff(at))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(arrays.mix(shingle + place.astype(np.uint64)))])
-        digest = arrays.mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(digest.view(np.int64)), pa.array(np.diff(at))],
-            names=["doc_id", "digest", "n_shingles"],
-        )
+def _row_digests(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One 64-bit digest of each row's sequence of shingles."""
+    place = np.arange(len(shingle)) - np.repeat(at[:-1], np.diff(at))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(arrays.mix(shingle + place.astype(np.uint64)))])
+    return arrays.mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(np.uint64))
 
 
 def _sketched(sketches: int, size: int):
+    """Id, digest, number of shingles and sketches of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrays.slices(batches):
             shingle, at = shingles(part.column(1))
+            digest = _row_digests(shingle, at)
             keys = [
                 order_min_hashes(shingle[a:b], sketches, size) if b > a else np.zeros(0, np.uint64)
                 for a, b in zip(at[:-1], at[1:])
             ]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            flat = np.concatenate(keys)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                names=["doc_id", "sketches"],
+                [
+                    part.column(0), pa.array(digest.view(np.int64)), pa.array(np.diff(at)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                ],
+                names=["doc_id", "digest", "n_shingles", "sketches"],
             )
 
     return run
 
 
+def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Id, digest and the shingles of each row, cut to 32 bits."""
+    for part in arrays.slices(batches):
+        shingle, at = shingles(part.column(1))
+        digest = _row_digests(shingle, at)
+        short = shingle.astype("<u4")
+        held = [short[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(digest.view(np.int64)), pa.array(held, pa.binary())],
+            names=["doc_id", "digest", "shingles"],
+        )
+
+
+def _sequence(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4")
+
+
 def _verified(least: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             kept = [
-                similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), least) >= least
+                similarity(_sequence(a), _sequence(b), least) >= least
                 for a, b in zip(frame["left_shingles"], frame["right_shingles"])
             ]
             yield frame.loc[kept, ["src", "dst"]]
@@ -155,26 +174,56 @@ def _verified(least: float):
     return run
 
 
-def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in arrays.slices(batches):
-        shingle, at = shingles(part.column(1))
-        held = [shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(held, pa.binary())], names=["doc_id", "shingles"]
-        )
+def group_links(ids: np.ndarray, classes: np.ndarray, texts: list[np.ndarray], across: np.ndarray | None, least: float) -> list[tuple]:
+    """Links that join different classes of one group, at most one per pair of classes.
 
+    Counts the shingles that a text shares with all others at once; only texts that share
+    enough are aligned, and only while their classes are apart. With ``across`` only
+    members with different marks are compared.
+    """
+    size = np.array([len(t) for t in texts])
+    flat = np.concatenate(texts).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), size)
+    # Equal shingles of one text count as often as they occur in both.
+    label = flat + arrays.mix(np.concatenate([_occurrences(t) for t in texts]).astype(np.uint64) + np.uint64(1))
+    code, kinds = pd.factorize(label)
+    begin = np.cumsum(size) - size
+    flag = np.zeros(len(kinds), bool)
+    parent = {int(c): int(c) for c in classes}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    for i in range(len(texts) - 1):
+        flag[code[begin[i] : begin[i] + size[i]]] = True
+        later = begin[i + 1]
+        shared = np.add.reduceat(flag[code[later:]].astype(np.int64), begin[i + 1 :] - later)
+        flag[code[begin[i] : begin[i] + size[i]]] = False
+        union = size[i] + size[i + 1 :] - shared
+        close = (shared >= least * union) & (classes[i + 1 :] != classes[i])
+        if across is not None:
+            close &= across[i + 1 :] != across[i]
+        for j in (i + 1 + np.flatnonzero(close)).tolist():
+            a, b = root(int(classes[i])), root(int(classes[j]))
+            if a != b and similarity(texts[i], texts[j], least) >= least:
+                parent[max(a, b)] = min(a, b)
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return found
+
+
+def _group_linker(least: float):
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        same_chunk = key[1] == key[2]
+        found = group_links(
+            frame["doc_id"].to_numpy(), frame["class"].to_numpy(), [_sequence(x) for x in frame["shingles"]],
+            None if same_chunk else frame["chunk"].to_numpy(), least,
+        )
+        return pd.DataFrame(found, columns=["src", "dst"])
 
-def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The ``src, dst`` rows of ``pairs`` whose texts are similar enough."""
-    pairs = stored(pairs.distinct())
-    named = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    held = stored(
-        texts.join(named, "doc_id", "left_semi").mapInArrow(_with_shingles, "doc_id long, shingles binary")
-    )
-    left = held.select(F.col("doc_id").alias("src"), F.col("shingles").alias("left_shingles"))
-    right = held.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("right_shingles"))
-    both = pairs.join(left, "src").join(right, "dst")
-    return stored(both.mapInPandas(_verified(least), "src long, dst long"))
+    return run
 
 
 def near_duplicate_classes(
@@ -182,66 +231,85 @@ def near_duplicate_classes(
 ) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and kept, one row per document.
 
-    Texts with equal words are one text from the start; only one document of each is
-    sketched. In each group of equal sketches all are aligned with one leader, a
-    different one per sketch function, so a group of n costs n alignments. Groups that
-    still hold several classes are compared again across the classes, so no link between
-    different classes is lost to the choice of leaders.
+    Texts with equal words are one text from the start. In each group of equal sketches
+    all are aligned with one leader, the text whose sketches are shared most, so a group
+    of n costs n alignments and most of a group of copies becomes one class. Groups that
+    still hold several classes are compared across the classes in blocks, which return
+    links and never pairs; so no link between classes of a group is lost to the leader.
 
     Null texts and texts without words are in no class but their own. Rows of one doc_id
     are one document with its smallest digest; a null doc_id cannot be told from another
     and is returned as it is, kept, without a class. Other columns are not read.
     """
     known = docs.select("doc_id", "text").where("doc_id is not null")
-    digest = stored(
-        known.mapInArrow(_digests, "doc_id long, digest long, n_shingles long")
-        .groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("d"))
-        .select("doc_id", "d.digest", "d.n_shingles")
+    schema = "doc_id long, digest long, n_shingles long, sketches array<bigint>"
+    every = stored(
+        known.mapInArrow(_sketched(sketches, size), schema)
+        .groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "sketches")).alias("d"))
+        .select("doc_id", "d.*")
     )
-    alone = digest.where("n_shingles = 0")
-    same = digest.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("text_id"))
-    same = stored(same)
-    texts = known.dropDuplicates(["doc_id"]) if _repeats(digest, known) else known
-    texts = texts.join(same.select(F.col("text_id").alias("doc_id")), "doc_id", "left_semi")
-    keys = texts.mapInArrow(_sketched(sketches, size), "doc_id long, sketches array<bigint>")
-    keys = keys.select("doc_id", F.explode("sketches").alias("sketch"))
-    counted = keys.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1").select("sketch")
-    keys = stored(keys.join(counted, "sketch", "left_semi"))
-    # A leader per group; the order differs with the sketch, so leaders do too.
-    leader = keys.groupBy("sketch").agg(
-        F.min_by("doc_id", F.xxhash64("doc_id", "sketch")).alias("leader")
+    same = stored(
+        every.where("n_shingles > 0").groupBy("digest")
+        .agg(F.min("doc_id").alias("text_id"), F.first("sketches").alias("sketches"))
     )
+    keys = same.select(F.col("text_id").alias("doc_id"), "digest", F.explode("sketches").alias("sketch"))
+    shared = keys.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1")
+    keys = stored(keys.join(shared, "sketch"))
+    popularity = keys.groupBy("doc_id").agg(F.sum("n").alias("popularity"))
+    leader = keys.join(popularity, "doc_id").groupBy("sketch").agg(
+        F.max(F.struct("popularity", F.negative("doc_id").alias("minus"))).alias("top")
+    ).select("sketch", F.negative("top.minus").alias("leader"))
     pairs = keys.join(leader, "sketch").where("doc_id <> leader").select(
         F.least("doc_id", "leader").alias("src"), F.greatest("doc_id", "leader").alias("dst")
+    ).distinct()
+    wanted = keys.select("doc_id", "digest").distinct()
+    held = stored(
+        known.mapInArrow(_with_shingles, "doc_id long, digest long, shingles binary")
+        .join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).drop("digest")
     )
-    links = _links(pairs, texts, least)
-    classes = stored(connected_components(links))
-    # Across classes of one group: members meet every other class's members.
-    placed = keys.join(classes, keys["doc_id"] == classes["node"], "left").select(
-        "sketch", "doc_id", F.coalesce("component", "doc_id").alias("class")
-    )
-    mixed = placed.groupBy("sketch").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    placed = stored(placed.join(mixed.select("sketch"), "sketch", "left_semi"))
-    other = placed.select("sketch", F.col("doc_id").alias("other_id"), F.col("class").alias("other_class"))
-    across = placed.join(other, "sketch").where("class < other_class").select(
-        F.least("doc_id", "other_id").alias("src"), F.greatest("doc_id", "other_id").alias("dst")
+    both = pairs.join(held.select(F.col("doc_id").alias("src"), F.col("shingles").alias("left_shingles")), "src").join(
+        held.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("right_shingles")), "dst"
     )
-    more = _links(across.join(pairs, ["src", "dst"], "left_anti"), texts, least)
-    final = connected_components(links.unionByName(more))
-    return _assigned(digest, same, alone, final, docs)
-
-
-def _repeats(digest: DataFrame, known: DataFrame) -> bool:
-    return digest.count() < known.count()
-
-
-def _assigned(digest, same, alone, components, docs) -> DataFrame:
+    links = stored(both.mapInPandas(_verified(least), "src long, dst long"))
+    classes = stored(connected_components(links))
+    more = stored(_across_classes(keys, classes, held, least))
+    components = connected_components(links.unionByName(more))
     of_text = same.join(components, same["text_id"] == components["node"], "left").select(
         "digest", F.coalesce("component", "text_id").alias("class_id")
     )
-    members = digest.where("n_shingles > 0").join(of_text, "digest").select("doc_id", "class_id")
-    single = alone.select("doc_id", F.col("doc_id").alias("class_id"))
+    members = every.where("n_shingles > 0").join(of_text, "digest").select("doc_id", "class_id")
+    single = every.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"))
     nameless = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return members.unionByName(single).unionByName(nameless).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))
     )
+
+
+def _across_classes(keys: DataFrame, classes: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Links between different classes that share a sketch.
+
+    A group is dealt into chunks; each pair of chunks is a task, so no task holds more
+    than two chunks of a group however large it is.
+    """
+    placed = keys.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "sketch", "n", "doc_id", F.coalesce("component", "doc_id").alias("class")
+    )
+    mixed = placed.groupBy("sketch").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    # Equal sets of members need one comparison, not one per sketch.
+    alike = (
+        placed.join(mixed.select("sketch"), "sketch", "left_semi").groupBy("sketch")
+        .agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.max("n").alias("n"))
+        .groupBy("sum", "n").agg(F.min("sketch").alias("sketch")).select("sketch")
+    )
+    placed = stored(placed.join(alike, "sketch", "left_semi"))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), chunks - 1))
+    )
+    dealt = dealt.select(
+        "sketch", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+        "doc_id", "class", "chunk",
+    )
+    return dealt.join(held, "doc_id").groupBy("sketch", "low", "high").applyInPandas(
+        _group_linker(least), "src long, dst long"
+    )
