@@ -145,8 +145,8 @@ def _encoder(shared):
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(line)),
                     pa.array(n + 1),
                     pa.array(np.bincount(row[local], minlength=rows)),
-                    pa.array(base),
-                    pa.array(shares),
+                    pa.array(base.astype(np.float64)),
+                    pa.array(shares.astype(np.float64)),
                     pa.ListArray.from_arrays(pa.array(edges), pa.array(word[rest].view(np.int64))),
                 ],
                 names=[*part.schema.names[1:], "row_id", "symbols", "n_tokens", "known", "base", "shares", "rest"],
