@@ -262,7 +262,7 @@ def duplicate_attempt_keys(t: Tables) -> DataFrame:
 # --- extraction ---------------------------------------------------------------
 def completions(t: Tables) -> DataFrame:
     """A completion per document with defects that depend on the document id."""
-    key, line = F.col("doc_id"), F.trim(F.substring("text", 1, 40))
+    key, line = F.col("doc_id"), F.trim(F.array_max(F.split("text", "\n")))
 
     def entity(ref, name, kind, quote):
         return F.struct(

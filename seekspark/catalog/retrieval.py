@@ -20,9 +20,9 @@ from seekspark.plans import retrieval as plan
 from seekspark.plans.options import RetrievalOptions
 
 CHUNK_SQL = """SELECT CAST(doc_id AS VARCHAR) AS object_id, 'Document: ' || source || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || text AS text FROM documents"""
-ENTITY_SQL = """SELECT 'e:' || source AS object_id, 'Entity: ' || source || chr(10) || 'Type: SOURCE' || chr(10) || 'Aliases: (none)' || chr(10) || 'Description: ' || min(substr(text, 1, 80)) AS text FROM documents GROUP BY source
- UNION ALL SELECT 'e:' || lang, 'Entity: ' || lang || chr(10) || 'Type: LANGUAGE' || chr(10) || 'Aliases: (none)' || chr(10) || 'Description: ' || min(substr(text, 1, 80)) FROM documents GROUP BY lang"""
-RELATION_SQL = """SELECT 'r:' || source || ':' || lang AS object_id, 'e:' || source AS s, 'e:' || lang AS t, 'Relation: ' || source || ' --WRITTEN_IN--> ' || lang || chr(10) || 'Description: ' || max(substr(text, 1, 80)) AS text FROM documents GROUP BY source, lang"""
+ENTITY_SQL = """SELECT 'e:' || source AS object_id, 'Entity: ' || source || chr(10) || 'Type: SOURCE' || chr(10) || 'Aliases: (none)' || chr(10) || 'Description: ' || min(md5(text)) AS text FROM documents GROUP BY source
+ UNION ALL SELECT 'e:' || lang, 'Entity: ' || lang || chr(10) || 'Type: LANGUAGE' || chr(10) || 'Aliases: (none)' || chr(10) || 'Description: ' || min(md5(text)) FROM documents GROUP BY lang"""
+RELATION_SQL = """SELECT 'r:' || source || ':' || lang AS object_id, 'e:' || source AS s, 'e:' || lang AS t, 'Relation: ' || source || ' --WRITTEN_IN--> ' || lang || chr(10) || 'Description: ' || max(md5(text)) AS text FROM documents GROUP BY source, lang"""
 
 
 def vectors_sql(name: str, source: str) -> str:
@@ -78,7 +78,7 @@ def document_index(t: Tables, embedder: HashEmbedder | None = None) -> indexing.
         F.array("lang").alias("section_path"), F.lit(None).cast("int").alias("page_start"),
         F.lit(None).cast("int").alias("page_end"), "text", text.alias("embedding_text"),
     )
-    start = F.substring("text", 1, 80)
+    start = F.md5("text")  # a digest of the whole text
 
     def entity(column: str, kind: str) -> DataFrame:
         found = docs.groupBy(F.col(column).alias("name")).agg(F.min(start).alias("description"))

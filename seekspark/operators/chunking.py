@@ -163,20 +163,24 @@ class _Splitter:
         for first, last, section in self.pieces(text, segments):
             if open_span is None or open_span[2] != section:
                 if open_span is not None:
-                    done.append(open_span)
+                    done.append(self.final(text, open_span))
                 open_span = (first, last, section)
             elif self.fits(text[open_span[0] : last], section):
                 open_span = (open_span[0], last, section)
             else:
-                done.append(open_span)
+                done.append(self.final(text, open_span))
                 begin = self.tail(text, open_span[0], open_span[1])
                 if not self.overlap or not self.fits(text[begin:last], section):
                     begin = first
                 open_span = (begin, last, section)
         if open_span is not None:
-            done.append(open_span)
+            done.append(self.final(text, open_span))
         return done
 
+    def final(self, text: str, span: tuple[int, int, tuple]) -> tuple[int, int, tuple]:
+        """The span without white space at its ends; an overlap may begin on some."""
+        return (*self.trimmed(text, span[0], span[1]), span[2])
+
 
 def chunk_spans(
     text: Column, segments: Column, count: Counter, max_tokens: int, overlap: int

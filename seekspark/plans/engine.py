@@ -141,8 +141,9 @@ class Engine:
         index = self.indexes.load(self.embedder)
         found = retrieve(index, keyed, mode, options, self.reranker)
         given = answers.checked_answers(answers.deterministic_answers(found), found.context)
-        config = indexing.canonical_json_hash(index.metadata["config"])
-        trace = self.traces.save(found, index.profile_id, config, config, given)
+        stored_config = indexing.canonical_json_hash(index.metadata["config"])
+        used_config = indexing.canonical_json_hash(indexing.semantic_config(self.embedder))
+        trace = self.traces.save(found, index.profile_id, used_config, stored_config, given)
         return self.traces.replay(trace, "answers"), trace
 
     def evaluate(self, cases: DataFrame, gold: DataFrame, modes: tuple[str, ...], k: int = 8) -> DataFrame:

@@ -177,9 +177,12 @@ class IndexStore:
         stream.write(bytearray(text.encode("utf-8")))
         stream.close()
         _, target = self._fs(path)
-        if not fs.rename(source, target):
-            fs.delete(target, False)
-            fs.rename(source, target)
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        option = getattr(hadoop, "Options$Rename")
+        overwrite = gateway.new_array(option, 1)
+        overwrite[0] = option.OVERWRITE
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(source), fs.makeQualified(target), overwrite)
 
     def _read_text(self, path: str) -> str | None:
         fs, target = self._fs(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspark.functions.text import (
-    clip_to_budget, comparison_subqueries, expanded_query, whitespace_tokens,
+    clean_keywords, clip_to_budget, comparison_subqueries, expanded_query, whitespace_tokens,
 )
 from seekspark.functions.vectors import embed_column, sigmoid
 from seekspark.operators.dense import collect_queries, dense_top_k
@@ -66,8 +66,9 @@ class Retrieval:
 
 def prepare_questions(questions: DataFrame) -> DataFrame:
     """Trim, reject blank questions, and append the keyword line for the scorers."""
+    none = F.array().cast("array<string>")
     keywords = (
-        F.col("keywords") if "keywords" in questions.columns else F.array().cast("array<string>")
+        clean_keywords(F.coalesce("keywords", none)) if "keywords" in questions.columns else none
     )
     text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     checked = F.when(F.length(text) > 0, text).otherwise(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekspark.scale import checkpoint_dir
+
 
 def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Stream the event table; its schema comes from the stored files."""
@@ -25,7 +29,15 @@ def windowed_counts(events: DataFrame, width: str = "1 day", delay: str = "1 hou
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drain the available input into a memory table; for tests and small results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Drain the available input into a memory table; for tests and small results.
+
+    The state lies in the shared checkpoint folder; the memory table holds the result on
+    the driver, so a large result belongs in a file sink.
+    """
+    state = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    query = (
+        df.writeStream.format("memory").queryName(name).outputMode(mode)
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
     query.awaitTermination()
     return df.sparkSession.table(name)
