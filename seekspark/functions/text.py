@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -316,25 +319,28 @@ UNIT_BOUNDARIES = (". ", "? ", "! ", "; ", "\n")
 # -----------------------------------------------------------------------------
 
 
-def _cut_units(text: str, max_chars: int) -> list[str]:
-    units, position = [], 0
-    while True:
-        position += len(text[position:]) - len(text[position:].lstrip())
-        if position >= len(text):
-            return units
-        stop = min(position + max_chars, len(text))
-        if stop < len(text):
-            floor = position + max_chars // 2
-            late = max(text.rfind(mark, floor, stop) for mark in UNIT_BOUNDARIES)
-            stop = late + 1 if late >= floor else stop
-        units.append(text[position:stop].strip())
-        position = stop
+_UNIT_END = re.compile("|".join(map(re.escape, UNIT_BOUNDARIES)))
+
+
+def _unit_spans(text: str, max_chars: int) -> Iterator[tuple[int, int]]:
+    """Spans cut after the last boundary of the second half of what fits."""
+    marks = [m.span() for m in _UNIT_END.finditer(text)]
+    after = [stop for _, stop in marks]
+    solid = [m.start() for m in re.finditer(r"\S", text)]
+    place = 0
+    while (k := bisect.bisect_left(solid, place)) < len(solid):
+        start, place = solid[k], min(solid[k] + max_chars, len(text))
+        if place < len(text):
+            last = bisect.bisect_right(after, place) - 1
+            if last >= 0 and marks[last][0] >= start + max_chars // 2:
+                place = marks[last][0] + 1
+        yield start, place
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def evidence_units(values: pd.Series) -> pd.Series:
     """Exact substrings of at most 700 characters, cut at a late boundary."""
-    return values.map(lambda v: None if v is None else _cut_units(v, UNIT_MAX_CHARS))
+    return values.map(lambda v: None if v is None else [v[a:b].strip() for a, b in _unit_spans(v, UNIT_MAX_CHARS)])
 
 
 def clip_to_budget(text: Column, budget: Column) -> Column:

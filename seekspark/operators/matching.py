@@ -1,107 +1,125 @@
-"""Linking reference texts to source segments by equality or containment."""
+"""Which reference texts occur in which segments, as an equi-join.
+
+Substrings of a text have a fingerprint that both sides compute alone: the smallest hash
+of the short grams inside a window of the shortest overlap that counts. A text that
+contains another contains the first window of it, and with it that window's smallest
+gram; so the container offers the smallest gram of all its windows, a few per hundred
+characters, and the contained text looks up one. Pairs that meet are compared in full.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekspark.functions.text import MIN_OVERLAP_CHARS, exact_casefold, nfkc, squeeze
-from seekspark.scale import computed_once, small_side
-
-# Reference texts shipped to the executors in one piece, in characters.
-BLOCK_CHARS = 32_000_000
+from seekspark.scale import cut_lineage
 
-FOUND = T.ArrayType(
-    T.StructType(
-        [T.StructField("context", T.IntegerType()), T.StructField("equal", T.BooleanType())]
-    )
-)
+GRAM_CHARS = 16
+WINDOW = MIN_OVERLAP_CHARS - GRAM_CHARS + 1
+# What a key stands for: equal texts, a reference inside a segment, and the reverse.
+EQUAL, REFERENCE_INSIDE, SEGMENT_INSIDE = 1, 2, 3
+KEYS = T.ArrayType(T.LongType())
 
 
 def normal_form(value: Column) -> Column:
     return exact_casefold(squeeze(nfkc(value)))
 
 
-class _Finder:
-    """Finds all texts of one block inside a segment in one pass over the segment."""
-
-    def __init__(self, texts: list[str]) -> None:
-        import ahocorasick
-
-        self.texts = texts
-        self.longest = max(map(len, texts), default=0)
-        groups: dict[str, list[int]] = {}
-        for i, text in enumerate(texts):
-            groups.setdefault(text, []).append(i)
-        self.groups = groups
-        self.automaton = ahocorasick.Automaton()
-        for text, members in groups.items():
-            if len(text) >= MIN_OVERLAP_CHARS:
-                self.automaton.add_word(text, members)
-        if len(self.automaton):
-            self.automaton.make_automaton()
-
-    def find(self, segment: str) -> list[dict]:
-        hits = set(self.groups.get(segment, ())) if segment else set()
-        equal = set(hits)
-        if len(self.automaton):
-            for _, members in self.automaton.iter(segment):
-                hits.update(members)
-        if 0 < len(segment) <= self.longest:
-            for text, members in self.groups.items():
-                if len(text) >= MIN_OVERLAP_CHARS and segment in text:
-                    hits.update(members)
-        return [{"context": i, "equal": i in equal} for i in sorted(hits)]
+def _mixed(value: np.ndarray, tag: int) -> np.ndarray:
+    value = value ^ np.uint64(tag * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return value ^ (value >> np.uint64(32))
+
+
+def _power_grams(text: str):
+    """``(size, hashes)`` of all grams of 1, 2, 4, ... characters."""
+    value = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    value, size = _mixed(value, 7), 1
+    while len(value):
+        yield size, value
+        value = _mixed(value[:-size] * np.uint64(0xA24BAED4963EE407) + value[size:], 8)
+        size *= 2
+
+
+def _windows(text: str) -> np.ndarray:
+    """The smallest gram hash of each window of the text."""
+    value = next((v for size, v in _power_grams(text) if size == GRAM_CHARS), np.zeros(0, np.uint64))
+    width = 1
+    while 2 * width <= WINDOW and len(value):
+        value, width = np.minimum(value[:-width], value[width:]), 2 * width
+    rest = WINDOW - width
+    return np.minimum(value[:-rest], value[rest:]) if rest and len(value) else value
+
+
+def _whole(text: str) -> np.ndarray:
+    return _mixed(np.bitwise_xor.reduce([_mixed(v[:1], s) ^ _mixed(v[-1:], s + 1) for s, v in _power_grams(text)]), EQUAL)
+
+
+def _segment_keys(text: str) -> np.ndarray:
+    """Equal text, the windows it offers, and the one key it is looked up by."""
+    windows = _windows(text)
+    if len(windows):
+        own = windows[:1]
+    else:
+        *_, (_, last) = _power_grams(text)
+        own = last[:1]
+    return np.concatenate([_whole(text), _mixed(np.unique(windows), REFERENCE_INSIDE), _mixed(own, SEGMENT_INSIDE)])
+
+
+def _reference_keys(text: str) -> np.ndarray:
+    """The counterpart; references below the shortest overlap can only be equal."""
+    windows = _windows(text)
+    if not len(windows):
+        return _whole(text)
+    grams = [np.unique(v) for size, v in _power_grams(text) if size < MIN_OVERLAP_CHARS]
+    inside = np.unique(np.concatenate([windows, *grams]))
+    return np.concatenate([_whole(text), _mixed(windows[:1], REFERENCE_INSIDE), _mixed(inside, SEGMENT_INSIDE)])
+
+
+@F.pandas_udf(KEYS)
+def segment_keys(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _segment_keys(t).view(np.int64))
+
+
+@F.pandas_udf(KEYS)
+def reference_keys(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _reference_keys(t).view(np.int64))
+
+
+def _normal(rows: DataFrame, name: str) -> DataFrame:
+    return cut_lineage(
+        rows.select(name, normal_form(F.col("text")).alias("normal")).where(F.length("normal") > 0)
+    )
 
 
 def match_contexts(contexts: DataFrame, segments: DataFrame) -> DataFrame:
     """``context_id, segment_id, equal`` for contexts found in segments or the reverse.
 
     Equal texts win: other matches of the same context are dropped then. Containment
-    needs a context of at least 80 characters. Segments are scanned in place, without
-    pairing rows; contexts travel in blocks of bounded size, one scan per block.
+    needs a context of at least 80 characters.
     """
-    normal = contexts.select("context_id", normal_form(F.col("text")).alias("text")).where(
-        F.length("text") > 0
+    contexts, segments = _normal(contexts, "context_id"), _normal(segments, "segment_id")
+    offered = segments.select("segment_id", F.explode(segment_keys("normal")).alias("key"))
+    asked = contexts.select("context_id", F.explode(reference_keys("normal")).alias("key"))
+    pairs = asked.join(offered, "key").select("context_id", "segment_id").distinct()
+    both = pairs.join(contexts.withColumnRenamed("normal", "context"), "context_id").join(
+        segments.withColumnRenamed("normal", "segment"), "segment_id"
+    )
+    within = (F.length("context") >= MIN_OVERLAP_CHARS) & (
+        F.contains("segment", "context") | F.contains("context", "segment")
+    )
+    found = cut_lineage(
+        both.withColumn("equal", F.col("context") == F.col("segment"))
+        .where(F.col("equal") | within)
+        .select("context_id", "segment_id", "equal")
     )
-    size = normal.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
-    blocks = size // BLOCK_CHARS + 1
-    prepared = computed_once(
-        segments.select("segment_id", "text"), normal=normal_form(F.col("text"))
-    ).select("segment_id", "normal")
-    found = None
-    for block in range(blocks):
-        part = normal.where(F.pmod(F.xxhash64("context_id"), F.lit(blocks)) == block)
-        rows = part.toPandas()
-        hits = _scan(prepared, rows)
-        names = segments.sparkSession.createDataFrame(
-            pd.DataFrame(
-                {"context": range(len(rows)), "context_id": rows["context_id"].tolist()}
-            ),
-            T.StructType([T.StructField("context", T.IntegerType()), normal.schema["context_id"]]),
-        )
-        linked = hits.join(F.broadcast(names), "context").drop("context")
-        found = linked if found is None else found.unionByName(linked)
     exact = found.groupBy("context_id").agg(F.max("equal").alias("has_equal"))
     return (
-        found.join(small_side(exact), "context_id")
+        found.join(exact, "context_id")
         .where(F.col("equal") | ~F.col("has_equal"))
         .select("context_id", "segment_id", "equal")
     )
-
-
-def _scan(prepared: DataFrame, rows: pd.DataFrame) -> DataFrame:
-    shipped = prepared.sparkSession.sparkContext.broadcast(rows["text"].tolist())
-    state: dict = {}
-
-    @F.pandas_udf(FOUND)
-    def find(values: pd.Series) -> pd.Series:
-        finder = state.get("finder")
-        if finder is None:
-            finder = state["finder"] = _Finder(shipped.value)
-        return values.map(finder.find)
-
-    hits = prepared.withColumn("hits", find.asNondeterministic()(F.col("normal")))
-    return hits.select("segment_id", F.inline("hits"))

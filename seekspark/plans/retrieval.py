@@ -24,7 +24,7 @@ from seekspark.operators.graph import adjacency, shortest_paths
 from seekspark.operators.lexical import bm25_top_k
 from seekspark.plans.indexing import Index
 from seekspark.plans.options import RetrievalOptions, active_routes
-from seekspark.scale import cut_lineage, small_side
+from seekspark.scale import computed_once, cut_lineage, small_side
 
 RELATION_DECAY = 0.9
 PATH_ENDPOINTS = 6
@@ -74,10 +74,10 @@ def prepare_questions(questions: DataFrame) -> DataFrame:
     checked = F.when(F.length(text) > 0, text).otherwise(
         F.raise_error(F.lit("question must not be blank"))
     )
-    return questions.select(
-        F.col("query_id").cast("string").alias("query_id"),
-        checked.alias("question"),
-        expanded_query(text, keywords).alias("text"),
+    # Computed once: an embedder's input must not be an expression of this size.
+    named = questions.select(F.col("query_id").cast("string").alias("query_id"), "text", keywords.alias("words"))
+    return computed_once(named, question=checked, expanded=expanded_query(text, F.col("words"))).select(
+        "query_id", "question", F.col("expanded").alias("text")
     )
 
 

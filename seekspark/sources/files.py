@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,35 +47,47 @@ def discover(spark: SparkSession, folder: str, suffixes: list[str] | None = None
     return listed.withColumn("suffix", suffix).where(suffix.isin(suffixes or list(LOADERS)))
 
 
-def markdown_segments(text: str) -> tuple[str | None, list[dict]]:
-    """First top heading as title, and blank-line blocks with their heading path."""
-    title, stack, block, segments = None, [], [], []
+def markdown_blocks(texts: Sequence[str]) -> tuple[list[str | None], list[list[dict]]]:
+    """Titles, and the blocks between blank lines and headings with their heading path.
 
-    def close() -> None:
-        body = "\n".join(block).strip()
-        if body:
-            segments.append({"text": body, "section_path": list(stack)})
-        block.clear()
-
-    for line in text.splitlines():
-        found = HEADING.match(line)
-        if found or not line.strip():
-            close()
-        if found:
-            depth, name = len(found[1]), found[2].strip()
-            if depth == 1 and title is None:
-                title = name
-            stack[depth - 1 :] = [name]
-        elif line.strip():
-            block.append(line)
-    close()
-    return title, segments
+    One table of all lines of a batch: a running number tells blocks apart, and a heading
+    stands one level below its predecessor at most, so its path is the latest heading of
+    each level above it.
+    """
+    lines = pd.DataFrame({"text": [t.splitlines() for t in texts]}).explode("text").fillna({"text": ""})
+    lines.index.name = "row"
+    lines = lines.reset_index()
+    head = lines["text"].str.extract(HEADING)
+    marks, lines["name"] = head[0], head[1].str.strip()
+    lines["heading"] = marks.notna()
+    blank = lines["text"].str.strip() == ""
+    lines["block"] = (lines["heading"] | blank | (lines["row"] != lines["row"].shift())).cumsum()
+    depth = marks.str.len().fillna(0).astype(int)
+
+    def level(above: int, wanted: int) -> int:
+        return min(above + 1, wanted) if wanted else above
+
+    lines["level"] = [
+        x for _, part in depth.groupby(lines["row"]) for x in list(itertools.accumulate(part, level, initial=0))[1:]
+    ]
+    latest = {}
+    for n in range(1, 7):
+        name = lines["name"].where(lines["heading"] & (lines["level"] == n))
+        latest[n] = name.groupby(lines["row"]).ffill()
+    title = lines[lines["heading"] & (depth == 1)].groupby("row")["name"].first()
+    segments: list[list[dict]] = [[] for _ in texts]
+    body = lines[~lines["heading"] & ~blank]
+    for (row, _), part in body.groupby(["row", "block"], sort=True):
+        at = part.index[0]
+        path = [latest[n][at] for n in range(1, int(lines["level"][at]) + 1)]
+        segments[row].append({"text": "\n".join(part["text"]).strip(), "section_path": path})
+    return [title.get(i) for i in range(len(texts))], segments
 
 
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("segments", SEGMENTS)]))
 def parse_markdown(texts: pd.Series) -> pd.DataFrame:
-    parsed = [markdown_segments(t or "") for t in texts]
-    return pd.DataFrame({"title": [p[0] for p in parsed], "segments": [p[1] for p in parsed]})
+    titles, segments = markdown_blocks([t or "" for t in texts])
+    return pd.DataFrame({"title": titles, "segments": segments})
 
 
 def text_segments(text: Column) -> Column:

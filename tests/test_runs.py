@@ -54,7 +54,7 @@ def test_misaligned_pairs_are_an_error(spark):
         metrics.paired_deltas(frame, other, ["mrr"]).collect()
 
 
-def test_context_matching_equals_brute_force(spark, monkeypatch):
+def test_context_matching_equals_brute_force(spark):
     random.seed(3)
     base = [" ".join(random.choice(["ab", "Cd", "ef", "gh"]) for _ in range(40)) for _ in range(4)]
     contexts = base + ["tiny", base[0][10:60], base[1].upper()]
@@ -71,10 +71,8 @@ def test_context_matching_equals_brute_force(spark, monkeypatch):
         expected |= {(i, j) for j in hits}
     c = spark.createDataFrame(list(enumerate(contexts)), "context_id int, text string")
     s = spark.createDataFrame(list(enumerate(segments)), "segment_id int, text string")
-    for block in (matching.BLOCK_CHARS, 200):
-        monkeypatch.setattr(matching, "BLOCK_CHARS", block)
-        got = {(r["context_id"], r["segment_id"]) for r in matching.match_contexts(c, s).collect()}
-        assert got == expected
+    got = {(r["context_id"], r["segment_id"]) for r in matching.match_contexts(c, s).collect()}
+    assert got == expected
 
 
 def test_claims_respect_both_budgets(spark):
@@ -184,9 +182,30 @@ def test_agent_budgets():
 
 
 def test_markdown_segments():
-    title, got = files.markdown_segments("intro\n# T #\n\na\nb\n\n### deep\nc\n## two\nd\n# other\ne")
-    assert title == "T"
-    assert [(s["section_path"], s["text"]) for s in got] == [([], "intro"), (["T"], "a\nb"), (["T", "deep"], "c"), (["T", "two"], "d"), (["other"], "e")]
+    texts = ["intro\n# T #\n\na\nb\n\n### deep\nc\n## two\nd\n# other\ne", "", "## only\n#### low\nx\n\n y "]
+    titles, found = files.markdown_blocks(texts)
+    got = [[(s["section_path"], s["text"]) for s in one] for one in found]
+    assert titles == ["T", None, None]
+    assert got[0] == [([], "intro"), (["T"], "a\nb"), (["T", "deep"], "c"), (["T", "two"], "d"), (["other"], "e")]
+    assert got[1] == [] and got[2] == [(["only", "low"], "x"), (["only", "low"], "y")]
+
+
+def test_chunk_spans_have_no_white_space_at_their_ends():
+    from seekspark.operators.chunking import _Splitter, count_whitespace
+
+    for text in ("第一段文字。\n\n第二段文字。\n\n第三段文字。\n\n第四段。", "one two three four\n\nfive\n\nsix seven\n\neight", "word"):
+        spans = _Splitter(count_whitespace, 4, 2).spans(text, [(0, len(text), ())])
+        assert spans and all(text[a:b] == text[a:b].strip() != "" for a, b, _ in spans)
+        assert not set(range(len(text))) - {i for a, b, _ in spans for i in range(a, b)} - {i for i, c in enumerate(text) if c.isspace()}
+
+
+def test_given_keywords_are_cleaned(spark):
+    from seekspark.plans.retrieval import prepare_questions
+
+    words = [" Graph ", "graph", ""] + [f"w{i}" for i in range(20)]
+    rows = spark.createDataFrame([("1", "what", words), ("2", "why", None)], "query_id string, text string, keywords array<string>")
+    got = {r["query_id"]: r["text"] for r in prepare_questions(rows).collect()}
+    assert got == {"1": "what\nKeywords: Graph, " + ", ".join(f"w{i}" for i in range(11)), "2": "why"}
 
 
 def test_stream_ingest_keeps_the_newest_version(spark, tmp_path):
