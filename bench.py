@@ -28,7 +28,8 @@ OTHERS = [
     "lexical_statistics", "cleaned_documents", "document_chunks", "quality_classes",
     "context_matches", "shared_line_components", "entity_degree_table",
     "resolved_entities", "run_counter_report", "pending_job_list",
-    "cost_estimates", "agent_run_metrics",
+    "cost_estimates", "agent_run_metrics", "lexical_macro_means", "shortest_graph_paths",
+    "layout_section_segments",
 ]
 
 
