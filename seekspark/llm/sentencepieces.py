@@ -13,7 +13,6 @@ equal to the result of the merges.
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +29,8 @@ MARK = 0x2581
 NONE = -1
 # Bits of a hash that a table of seen values is indexed by; most probes end there.
 SEEN_BITS = 21
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+MEMO_BITS = 20
 
 
 def _seen(keys: np.ndarray) -> np.ndarray:
@@ -165,6 +165,28 @@ def _last_merge(parts: list[int], pairs: dict[int, int], total: int):
     return last if len(parts) == 1 else None
 
 
+class PairMemo:
+    """Answers about pairs, one per slot; a later pair replaces an earlier one."""
+
+    def __init__(self):
+        self.keys = np.full(1 << MEMO_BITS, NONE)
+        self.good = np.zeros(1 << MEMO_BITS, bool)
+
+    def ask(self, model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * model.total + b
+        slot = ((key.astype(np.uint64) * np.uint64(arrays.BASE)) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        out = self.good[slot]
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            out[new] = fresh = stands_beside(model, a[new], b[new])
+            # Equal slots in one batch: the last write counts for both arrays alike.
+            order = np.argsort(slot[new], kind="stable")
+            at = slot[new][order]
+            last = np.append(at[1:] != at[:-1], True)
+            self.keys[at[last]], self.good[at[last]] = key[new][order][last], fresh[order][last]
+        return out
+
+
 def stands_beside(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether merging ``a`` and ``b`` together, from single code points, leaves both.
 
@@ -192,9 +214,12 @@ def stands_beside(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return good
 
 
-def viterbi(model: PieceModel, points: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def viterbi(
+    model: PieceModel, points: np.ndarray, start: np.ndarray, length: int, memo: PairMemo | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Best pieces of words of one length: numbers word by word, and how many each has."""
     count = len(start)
+    memo = memo or PairMemo()
     best = np.full((length + 1, count), -np.inf)
     best[0] = 0
     back = np.zeros((length + 1, count), np.int64)
@@ -203,23 +228,28 @@ def viterbi(model: PieceModel, points: np.ndarray, start: np.ndarray, length: in
     hashes = arrays.SpanHashes(window.ravel())
     rows = np.arange(count) * length
     for end in range(1, length + 1):
-        for size in range(1, min(model.longest, end) + 1):
+        # With merge rules one piece at most fits; a word that has it is done here.
+        rest = np.arange(count)
+        for size in range(min(model.longest, end), 0, -1):
             begin = end - size
-            key = hashes.of(rows + begin, rows + end)
-            number = _find(model.keys, model.numbers, model.seen_keys, key)
+            number = _find(model.keys, model.numbers, model.seen_keys, hashes.of(rows[rest] + begin, rows[rest] + end))
             if size == 1:
                 number[number == NONE] = model.singles
-            some = np.flatnonzero((number != NONE) & np.isfinite(best[begin]))
+            some = np.flatnonzero((number != NONE) & np.isfinite(best[begin][rest]))
             if not len(some):
                 continue
-            chosen = number[some]
+            word, chosen = rest[some], number[some]
             if model.merging and begin:
-                fits = stands_beside(model, piece[begin][some], chosen)
-                some, chosen = some[fits], chosen[fits]
-            score = best[begin][some] + model.scores[chosen]
-            better = score > best[end][some]
-            some, chosen = some[better], chosen[better]
-            best[end][some], piece[end][some], back[end][some] = score[better], chosen, begin
+                fits = memo.ask(model, piece[begin][word], chosen)
+                word, chosen, some = word[fits], chosen[fits], some[fits]
+            score = best[begin][word] + model.scores[chosen]
+            better = score > best[end][word]
+            at, kept = word[better], chosen[better]
+            best[end][at], piece[end][at], back[end][at] = score[better], kept, begin
+            if model.merging and len(some):
+                rest = np.delete(rest, some)
+                if not len(rest):
+                    break
     # Read the back-pointers of all words at once.
     steps, place = [], np.full(count, length)
     while place.any():
@@ -231,8 +261,10 @@ def viterbi(model: PieceModel, points: np.ndarray, start: np.ndarray, length: in
     return table[used], used.sum(1)
 
 
-def _encode_words(model: PieceModel, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[list[int]]:
-    """Ids of each word ``points[begin:end]``."""
+def _encode_words(
+    model: PieceModel, points: np.ndarray, begin: np.ndarray, end: np.ndarray, memo: PairMemo
+) -> list[bytes]:
+    """Ids of each word ``points[begin:end]``, as bytes of 32-bit numbers."""
     length = end - begin
     # Runs of word marks may all merge with equal rank, which only the merges decide.
     run = np.zeros(len(begin), bool)
@@ -241,17 +273,17 @@ def _encode_words(model: PieceModel, points: np.ndarray, begin: np.ndarray, end:
         double = np.concatenate([[0], np.cumsum(mark[1:] & mark[:-1]), [0]])
         double[-1] = double[-2] if len(points) else 0
         run = double[end - 1] - double[begin] > 0
-    ids: list[list[int]] = [[] for _ in range(len(begin))]
+    ids = [b""] * len(begin)
     for size in np.unique(length[~run]):
         group = np.flatnonzero((length == size) & ~run)
         for a in range(0, len(group), 1 << 14):
             part = group[a : a + (1 << 14)]
-            numbers, count = viterbi(model, points, begin[part], int(size))
+            numbers, count = viterbi(model, points, begin[part], int(size), memo)
             stop = np.cumsum(count)
             odd = np.add.reduceat(numbers == model.singles, stop - count) > 0
-            plain = model.ids[numbers].tolist()
+            plain = model.ids[numbers].astype(np.int32).tobytes()
             for word, x, y, unknown in zip(part.tolist(), (stop - count).tolist(), stop.tolist(), odd.tolist()):
-                ids[word] = _to_ids(model, numbers[x:y].tolist(), points, int(begin[word])) if unknown else plain[x:y]
+                ids[word] = _to_ids(model, numbers[x:y].tolist(), points, int(begin[word])) if unknown else plain[4 * x : 4 * y]
     if run.any():
         number = {int(k): int(n) for k, n in zip(model.keys, model.numbers)}
         for word in np.flatnonzero(run).tolist():
@@ -261,7 +293,9 @@ def _encode_words(model: PieceModel, points: np.ndarray, begin: np.ndarray, end:
     return ids
 
 
-def encode_rows(model: PieceModel, text: pa.Array, cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_rows(
+    model: PieceModel, text: pa.Array, cache: dict | None = None, memo: PairMemo | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows and where each row begins."""
     data, at = arrays.text_bytes(text)
     points, at = arrays.code_points(data, at)
@@ -286,11 +320,11 @@ def encode_rows(model: PieceModel, text: pa.Array, cache: dict | None = None) ->
         cache.clear()
     keys = keys.tolist()
     new = np.array([i for i, k in enumerate(keys) if k not in cache], np.int64)
-    found = _encode_words(model, points, start[first[new]], end[first[new]])
+    found = _encode_words(model, points, start[first[new]], end[first[new]], memo or PairMemo())
     cache.update(zip([keys[i] for i in new], found))
     ids = [cache[k] for k in keys]
-    count = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(count.sum()))
+    count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.int32)
     offset = np.cumsum(count) - count
     length = count[code] if len(code) else np.zeros(0, np.int64)
     out = flat[np.repeat(offset[code] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))] if len(code) else flat
@@ -330,9 +364,9 @@ def _merge_long(parts: list[int], pairs: dict[int, int], total: int) -> list[int
     return [p for p, ok in zip(parts, alive) if ok]
 
 
-def _to_ids(model: PieceModel, numbers: list[int], points: np.ndarray, begin: int) -> list[int]:
+def _to_ids(model: PieceModel, numbers: list[int], points: np.ndarray, begin: int) -> bytes:
     if model.singles not in numbers:
-        return model.ids[numbers].tolist()
+        return model.ids[numbers].astype(np.int32).tobytes()
     out, place = [], begin
     for number in numbers:
         if number != model.singles:
@@ -344,7 +378,7 @@ def _to_ids(model: PieceModel, numbers: list[int], points: np.ndarray, begin: in
         elif not out or out[-1] != model.unknown_id:
             out.append(model.unknown_id)
         place += 1
-    return out
+    return np.array(out, np.int32).tobytes()
 
 
 def encode_texts(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
@@ -357,9 +391,10 @@ def encode_texts(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[int, list[int]] = {}
+        cache: dict[int, bytes] = {}
+        memo = PairMemo()
         for part in arrays.slices(batches, "encoded_text"):
-            ids, at = encode_rows(shared.value, part.column(0), cache)
+            ids, at = encode_rows(shared.value, part.column(0), cache, memo)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], names=[*part.schema.names[1:], "ids"])
 
