@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-Every language has a Bloom filter of the n-grams that occur in a fixed share of its
-training texts. The filters are stored bit-sliced: one row per bit position, holding a
+Every language has a Bloom filter of the n-grams that make up a fixed share of its
+training text. The filters are stored bit-sliced: one row per bit position, holding a
 mask of the languages that have the bit. Looking an n-gram up is the AND of a few rows
 and returns all languages containing it at once. A text counts hits per language,
 corrects them for the filter's false positives and takes the largest share.
@@ -13,22 +13,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import arrays
+from seekspark.llm.frames import stored
 
 GRAM_SIZES = (1, 2, 3)
-# An n-gram belongs to a language when this share of its training texts contain it.
-MEMBER_SHARE = 0.005
+# An n-gram belongs to a language when it makes up this share of its training n-grams,
+# so a language has at most the inverse share of members.
+MEMBER_SHARE = 5e-5
 HASHES = 3
 BITS_PER_MEMBER = 16
 UNKNOWN = "und"
 
 
 def grams(data: np.ndarray, at: np.ndarray):
-    """Distinct letter n-grams per row as (row, hash), and the letters of each row.
+    """All letter n-grams as (row, hash), and the number of letters of each row.
 
     Letters are lower-cased; all else becomes one word boundary. An n-gram has a
     letter at its second place (or is one letter), so runs of boundaries give none.
@@ -56,11 +59,7 @@ def grams(data: np.ndarray, at: np.ndarray):
         found.append((owner[:n][good], arrays.mix(key[good])))
     row = np.concatenate([f[0] for f in found])
     key = np.concatenate([f[1] for f in found])
-    order = np.lexsort((key, row))
-    row, key = row[order], key[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-    return row[new], key[new], letters
+    return row, key, letters
 
 
 def _positions(key: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -102,7 +101,7 @@ class LanguageFilters:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts per (language, n-gram), summed over what one task reads."""
+    """Occurrences per (language, n-gram), summed over what one task reads."""
     held: dict[str, list] = {}
     size = 0
 
@@ -120,7 +119,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = part.column(1).dictionary_encode()
         code = codes.indices.to_numpy(zero_copy_only=False)[row]
         for i, lang in enumerate(codes.dictionary.to_pylist()):
-            one, count = np.unique(key[code == i], return_counts=True)
+            at, one = pd.factorize(key[code == i])
+            count = np.bincount(at, minlength=len(one))
             held.setdefault(lang, []).append((one, count))
             size += len(one)
         if size > 2_000_000:
@@ -130,31 +130,30 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, [(key, count)] in held.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(count)],
-            names=["lang", "gram", "texts"],
+            names=["lang", "gram", "n"],
         )
 
 
 def train_filters(docs: DataFrame, member_share: float = MEMBER_SHARE) -> LanguageFilters:
     """Filters from the rows of ``docs(text, lang)`` whose language is known.
 
-    A language has at most (n-grams of a mean text) / ``member_share`` members, so the
-    filters' size depends on the languages and not on the number of texts.
+    A language has at most 1 / ``member_share`` members, so the filters' size depends on
+    the languages and not on the number of texts.
     """
     known = docs.select("text", "lang").where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageFilters([], 1, np.zeros((2, 1), np.uint64), np.zeros(0, int))
-    least = F.create_map(
-        *[x for name in languages for x in (F.lit(name), F.lit(sizes[name] * member_share))]
-    )
     code = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
+    counts = stored(
+        known.mapInArrow(_gram_counts, "lang string, gram long, n long")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    )
+    totals = counts.groupBy("lang").agg((F.sum("n") * member_share).alias("least"))
     members = (
-        known.mapInArrow(_gram_counts, "lang string, gram long, texts long")
-        .groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
-        .where(F.col("texts") >= least[F.col("lang")])
-        .select("gram", code[F.col("lang")].alias("code"))
-        .toPandas()
+        counts.join(F.broadcast(totals), "lang").where("n >= least")  # one row per language
+        .select("gram", code[F.col("lang")].alias("code")).toPandas()
     )
     bits = max(6, int(np.ceil(np.log2(max(1, members.groupby("code").size().max() if len(members) else 1) * BITS_PER_MEMBER))))
     masks = np.zeros((1 << bits, (len(languages) + 63) // 64), np.uint64)
