@@ -129,6 +129,26 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_a_language_with_one_trusted_text_keeps_its_clean_texts(spark):
+    draw = random.Random(8)
+    rows = [(i, _voice("xx", draw.randint(10, 40), draw), "xx") for i in range(200)]
+    rare = [(500 + i, _voice("yy", draw.randint(10, 40), draw), "yy") for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(150), 500]], "doc_id long, quality int, toxic int")
+    found = quality.quality_scores(_docs(spark, rows + rare), labels).collect()
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert len(found) == len(rows + rare)
+    assert sum(kept[i] for i, _, _ in rare) >= len(rare) - 1
+
+
+def test_fitted_share_is_by_language_and_leaves_half_out(spark):
+    rows = [(i, "t", "xx") for i in range(2000)] + [(5000 + i, "t", "yy") for i in range(9)] + [(9000, "t", "zz")]
+    docs = _docs(spark, rows)
+    chosen, below = quality.fitted_share(docs, docs.select("doc_id"), 100)
+    count = collections.Counter(r["lang"] for r in chosen.collect())
+    assert 60 <= count["xx"] <= 140 and count["yy"] == 4 and count["zz"] == 0
+    assert below.count() == 3
+
+
 def test_forward_and_counts_equal_enumeration():
     rng = np.random.default_rng(4)
     k, size = 3, 6
