@@ -1,11 +1,11 @@
 """Hidden Markov language model of words, trained by Baum-Welch over partitions.
 
-Each iteration reads a part of the training texts; tasks run the scaled forward-backward
-recursion and return expected counts, which are summed and become the next parameters.
-The last iteration reads all training texts. A word with a fixed share of all tokens has
-an emission of its own; the others emit through a class, given by their last letters, and
-share its emission by their counts. Counts of words too rare to be sent to every task
-are joined, so what is broadcast is bounded by shares and not by the corpus.
+Each iteration reads all training texts; tasks run the scaled forward-backward recursion
+and return expected counts, which are summed and become the next parameters. A word
+with a fixed share of all tokens has an emission of its own; the others emit through a
+class, given by their last letters, and share its emission by their counts. Counts of
+words too rare to be sent to every task are joined, so what is broadcast is bounded by
+shares and not by the corpus.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ EMISSION_SHARE = 2e-5
 LOCAL_SHARE = 2e-6
 SUFFIX_BYTES = 3
 SUFFIX_CLASSES = 2048
-# Parts of the training texts, in 64ths, that the iterations read; the last reads all.
-PARTS = (1, 1, 2, 2, 4, 4, 8, 8)
+# Each reads all training texts.
+ITERATIONS = 9
 SEGMENT = 256
 # Weight of the corpus-wide word distribution in each state's emissions, in tokens.
 PRIOR = 200.0
@@ -317,16 +317,9 @@ def score_texts(docs: DataFrame, is_training: Column, states: int = STATES, *kee
     ):
         schema = schema.add(name, kind)
     encoded = held.mapInArrow(_encoder(spark.sparkContext.broadcast(vocabulary)), schema)
-    bucket = F.pmod(F.xxhash64("row_id"), F.lit(64))
-    part, low = F.lit(len(PARTS)), 0
-    for i, size in enumerate(PARTS):
-        part = F.when((bucket >= low) & (bucket < low + size), i).otherwise(part)
-        low += size
-    encoded = stored(encoded.withColumn("part", F.when(F.col("training"), part).otherwise(len(PARTS) + 1).cast("int")), "part")
+    encoded = stored(encoded, "training")
     model = first_parameters(vocabulary.unigram + 1e-9, states)
-    if texts:
-        for i in range(len(PARTS)):
-            model = _iterate(model, encoded.where(F.col("part") == i), vocabulary)
+    for _ in range(ITERATIONS if texts else 0):
         model = _iterate(model, encoded.where("training"), vocabulary)
     shared = spark.sparkContext.broadcast(model)
 

@@ -205,6 +205,19 @@ def test_base_scores_equal_the_definition_and_the_model_is_better(spark, monkeyp
     assert hidden_markov.score_texts(_docs(spark, rows).limit(0), training, 4, "doc_id").count() == 0
 
 
+def test_every_iteration_reads_all_training_texts(spark, monkeypatch):
+    read = []
+
+    def iterate(model, sequences, vocabulary):
+        read.append(sequences.count())
+        return model
+
+    monkeypatch.setattr(hidden_markov, "_iterate", iterate)
+    docs = _docs(spark, [(i, "shu mako", "xx") for i in range(40)])
+    hidden_markov.score_texts(docs, F.col("doc_id") % 4 != 0, 3, "doc_id")
+    assert read == [30] * 9
+
+
 def test_clause_weights_compose():
     t = toxicity
     plain = t.clause_score([t.INSULT], [1.0])
