@@ -4,7 +4,8 @@ Markup is stripped into lines, one per block element. Lines of page furniture (m
 headers, footers, sidebars, notices, adverts, forms, comments) count as empty and leave a
 gap. The text lengths of a sliding window of lines form a curve: it surges from zero where
 a run of text begins and dives to zero where it ends. The text between the surge and the
-dive of the heaviest run, and of comparable runs, is kept.
+dive of the heaviest run, and of comparable runs, is kept. An article or main element ends
+the runs around it; those inside it count together and with more weight.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from seekspark.llm import arrays
 
 WINDOW = 3
-# Runs are kept that hold this share of the heaviest run's text, when no element marks
-# the article.
+# Runs are kept that have this share of the heaviest run's weight.
 COMPARABLE = 0.25
+# Weight of a character in an article or main element.
+ARTICLE_WEIGHT = 4
 # Lines whose text is mostly inside links are menus, not prose.
 LINK_SHARE = 0.6
 
@@ -37,6 +39,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
+PARAGRAPHS = ("p", "blockquote", "pre", "dd")
 # Elements that the start of another one closes.
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 FURNITURE_NAME = regex.compile(
@@ -52,6 +55,7 @@ TOKEN = regex.compile(
     regex.DOTALL,
 )
 ATTRIBUTE = regex.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", regex.IGNORECASE)
+SENTENCE_END = regex.compile(r"[.!?…][\"'\p{Pf}\p{Pe}]*(?:\s|\Z)|[。！？؟।]")
 SPACES = regex.compile(r"[\s ]+")
 
 
@@ -73,12 +77,14 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Lines:
-    """Lines of one page: text, length inside links, furniture, and inside an article."""
+    """Lines of one page: text, length inside links, number of the article element around
+    the line or 0, and whether the line is a paragraph or holds the end of a sentence."""
 
     def __init__(self):
         self.text: list[str] = []
         self.linked: list[int] = []
-        self.marked: list[bool] = []
+        self.article: list[int] = []
+        self.prose: list[bool] = []
         self.parts: list[str] = []
         self.in_links = 0
 
@@ -87,14 +93,16 @@ class _Lines:
         for _ in range(WINDOW):
             self.text.append("")
             self.linked.append(0)
-            self.marked.append(False)
+            self.article.append(0)
+            self.prose.append(False)
 
-    def end(self, marked: bool) -> None:
+    def end(self, article: int, paragraph: bool) -> None:
         line = SPACES.sub(" ", html.unescape("".join(self.parts))).strip()
         if line:
             self.text.append(line)
             self.linked.append(self.in_links)
-            self.marked.append(marked)
+            self.article.append(article)
+            self.prose.append(paragraph or SENTENCE_END.search(line) is not None)
         self.parts, self.in_links = [], 0
 
 
@@ -103,8 +111,12 @@ def page_lines(page: str) -> _Lines:
     out, stack, place, size = _Lines(), [], 0, len(page)
     # Depths in the stack where furniture, an article, a link and preformatted text began.
     hidden = article = link = None
+    articles = 0
     opened: Counter[str] = Counter()
 
+    def end_line() -> None:
+        out.end(0 if article is None else articles, any(opened[x] > 0 for x in PARAGRAPHS))
+
     def pop_to(depth: int) -> None:
         nonlocal hidden, article, link
         opened.subtract(stack[depth:])
@@ -114,6 +126,7 @@ def page_lines(page: str) -> _Lines:
             out.gap()
         if article is not None and article >= depth:
             article = None
+            out.gap()
         if link is not None and link >= depth:
             link = None
 
@@ -138,13 +151,13 @@ def page_lines(page: str) -> _Lines:
         if found[1]:
             if opened[name] <= 0:
                 if name in BLOCKS:
-                    out.end(article is not None)
+                    end_line()
                 continue
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == name), None)
             # An end tag of an inline element doesn't close the blocks around it.
             if depth is not None and (name in BLOCKS or not any(x in BLOCKS for x in stack[depth + 1 :])):
                 if name in BLOCKS:
-                    out.end(article is not None)
+                    end_line()
                 pop_to(depth)
             continue
         if name in RAW:
@@ -157,7 +170,7 @@ def page_lines(page: str) -> _Lines:
                 out.parts.append(" ")
             continue
         if name in BLOCKS:
-            out.end(article is not None)
+            end_line()
             for i in range(len(stack) - 1, -1, -1):
                 if name in CLOSED_BY.get(stack[i], ()):
                     pop_to(i)
@@ -170,14 +183,15 @@ def page_lines(page: str) -> _Lines:
         opened[name] += 1
         depth = len(stack) - 1
         if hidden is None and _is_furniture(name, found[3], article is not None):
-            out.end(article is not None)
+            end_line()
             hidden = depth
             out.gap()
         if name in ARTICLE and article is None and hidden is None:
-            article = depth
+            article, articles = depth, articles + 1
+            out.gap()
         if name == "a" and link is None:
             link = depth
-    out.end(article is not None)
+    end_line()
     return out
 
 
@@ -189,24 +203,28 @@ def main_text(page: str | None) -> str:
     length = np.array([len(t) for t in lines.text], np.int64)
     if not length.sum():
         return ""
-    marked = np.array(lines.marked)
-    if (length * marked).sum():
-        # An article element holds text: lines outside it are furniture.
-        length = length * marked
+    article, prose = np.array(lines.article), np.array(lines.prose)
     linked = np.array(lines.linked)
-    menu = (linked >= LINK_SHARE * np.maximum(length, 1)) & ~marked
+    menu = (linked >= LINK_SHARE * np.maximum(length, 1)) & (article == 0)
     if (length * ~menu).sum():
         length = length * ~menu
+    # Beside an article element, labels outside it neither begin a text nor outweigh it.
+    factor = np.where(article > 0, ARTICLE_WEIGHT, prose if (length * (article > 0)).sum() else 1)
     # Blocks of WINDOW lines, padded so that the curve starts and ends at zero.
     total = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(WINDOW, int), length, np.zeros(WINDOW, int)]))])
     block = total[WINDOW:] - total[:-WINDOW]
     surge = np.flatnonzero((block[1:] > 0) & (block[:-1] == 0)) + 1
     dive = np.flatnonzero((block[1:] == 0) & (block[:-1] > 0)) + 1
     runs = [(max(a - 1, 0), min(b - 1, len(length))) for a, b in zip(surge, dive)]
-    weight = [int(length[a:b].sum()) for a, b in runs]
-    least = 1 if marked.any() and (length * marked).sum() else COMPARABLE * max(weight)
+    # Runs of one article element weigh together; each other run is alone.
+    part = [int(article[a:b].max()) or -1 - i for i, (a, b) in enumerate(runs)]
+    weight: Counter[int] = Counter()
+    heavy = length * factor
+    for k, (a, b) in zip(part, runs):
+        weight[k] += int(heavy[a:b].sum())
+    least = max(1, COMPARABLE * max(weight.values()))
     return "\n".join(
-        lines.text[i] for (a, b), w in zip(runs, weight) if w >= least for i in range(a, b) if length[i]
+        lines.text[i] for k, (a, b) in zip(part, runs) if weight[k] >= least for i in range(a, b) if length[i]
     )
 
 

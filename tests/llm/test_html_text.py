@@ -32,6 +32,17 @@ def test_heaviest_run_is_kept_without_an_article_element():
     assert text.split("\n") == [f"Sentence {i} of a long enough running text." for i in range(20)]
 
 
+def test_an_article_element_adds_weight_but_does_not_decide():
+    long = "A sentence of the post. " * 100
+    card = "<article class=card><p>Read next</p></article>"
+    for post in (f"<div class=post><p>{long}</p></div>", f"<div class=post>{long}</div>", "<div class=post><p>" + "word " * 100 + "</p></div>"):
+        expected = " ".join(post.replace("<div class=post>", "").replace("<p>", "").replace("</p>", "").replace("</div>", "").split())
+        assert main_text(post + card) == expected
+        assert main_text(card + post) == expected
+    parts = f"<article><p>{long}</p><div class=ad>buy</div><p>end</p></article><div><p>A note.</p></div>"
+    assert main_text(parts) == f"{long.strip()}\nend"
+
+
 def test_deep_and_unmatched_tags_stay_linear():
     assert main_text("<b>" * 50_000 + "</i>" * 50_000 + "<p>x" * 10) == "\n".join("x" * 10)
 
