@@ -301,15 +301,16 @@ def completions(t: Tables) -> DataFrame:
     )
 
 
-DOC_SQL = """base AS (SELECT doc_id, 'x' || doc_id AS extraction_id FROM documents WHERE length(trim(text)) > 0),
+# Quotes over this length are rejected; it is the engine's own limit, stated once.
+DOC_SQL = f"""base AS (SELECT doc_id, 'x' || doc_id AS extraction_id, length(trim(list_max(string_split(text, chr(10))))) > {extraction.MAX_QUOTE} AS long FROM documents WHERE length(trim(text)) > 0),
 ok AS (SELECT * FROM base WHERE doc_id % 17 <> 0 AND (doc_id % 13 <> 0 OR doc_id % 11 = 0)),
-er AS (SELECT extraction_id, doc_id, 0 AS index, NULL AS reason FROM ok
- UNION ALL SELECT extraction_id, doc_id, 1, CASE WHEN doc_id % 3 = 0 THEN 'duplicate_ref' END FROM ok
- UNION ALL SELECT extraction_id, doc_id, 2, CASE WHEN doc_id % 5 = 0 THEN 'schema' WHEN doc_id % 4 = 0 THEN 'not_verbatim' END FROM ok),
-rr AS (SELECT extraction_id, doc_id, 0 AS index, CASE WHEN doc_id % 3 = 0 THEN 'missing_endpoint' END AS reason FROM ok
- UNION ALL SELECT extraction_id, doc_id, 1, 'self_relation' FROM ok
- UNION ALL SELECT extraction_id, doc_id, 2, CASE WHEN doc_id % 7 = 0 THEN 'schema' WHEN doc_id % 5 = 0 OR doc_id % 4 = 0 THEN 'missing_endpoint' END FROM ok
- UNION ALL SELECT extraction_id, doc_id, 3, CASE WHEN doc_id % 3 = 0 THEN 'missing_endpoint' ELSE 'duplicate_relation' END FROM ok)"""
+er AS (SELECT extraction_id, doc_id, 0 AS index, CASE WHEN long THEN 'schema' END AS reason FROM ok
+ UNION ALL SELECT extraction_id, doc_id, 1, CASE WHEN long THEN 'schema' WHEN doc_id % 3 = 0 THEN 'duplicate_ref' END FROM ok
+ UNION ALL SELECT extraction_id, doc_id, 2, CASE WHEN doc_id % 5 = 0 OR (long AND doc_id % 4 <> 0) THEN 'schema' WHEN doc_id % 4 = 0 THEN 'not_verbatim' END FROM ok),
+rr AS (SELECT extraction_id, doc_id, 0 AS index, CASE WHEN long THEN 'schema' WHEN doc_id % 3 = 0 THEN 'missing_endpoint' END AS reason FROM ok
+ UNION ALL SELECT extraction_id, doc_id, 1, CASE WHEN long THEN 'schema' ELSE 'self_relation' END FROM ok
+ UNION ALL SELECT extraction_id, doc_id, 2, CASE WHEN long OR doc_id % 7 = 0 THEN 'schema' WHEN doc_id % 5 = 0 OR doc_id % 4 = 0 THEN 'missing_endpoint' END FROM ok
+ UNION ALL SELECT extraction_id, doc_id, 3, CASE WHEN long THEN 'schema' WHEN doc_id % 3 = 0 THEN 'missing_endpoint' ELSE 'duplicate_relation' END FROM ok)"""
 
 
 def _usable(t: Tables) -> DataFrame:

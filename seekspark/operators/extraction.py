@@ -15,6 +15,7 @@ from seekspark.functions.text import (
 MAX_ENTITIES = 24
 MAX_RECORDS = 64
 MAX_ALIASES = 12
+MAX_QUOTE = 8000
 ENTITY_SHAPE = (
     r"^OBJECT<(?:aliases: ARRAY<(?:STRING|VOID)>, )?description: STRING, entity_type: STRING, "
     r"evidence_quotes: ARRAY<STRING>, name: STRING, ref: STRING>$"
@@ -103,7 +104,7 @@ def validate_entities(usable: DataFrame) -> DataFrame:
         & F.col("entity_type").isNotNull()
         & _sized(F.col("description"), 4000)
         & (F.col("quotes") == 1)
-        & _sized(F.col("quote"), 8000)
+        & _sized(F.col("quote"), MAX_QUOTE)
         & aliases_ok
     )
     checked = typed.withColumn("schema_ok", F.coalesce(schema_ok, F.lit(False))).withColumn(
@@ -164,7 +165,7 @@ def validate_relations(usable: DataFrame, entities: DataFrame) -> DataFrame:
         & F.col("predicate").rlike(PREDICATE)
         & _sized(F.col("description"), 4000)
         & (F.col("quotes") == 1)
-        & _sized(F.col("quote"), 8000)
+        & _sized(F.col("quote"), MAX_QUOTE)
     )
     checked = joined.select(
         "*",
