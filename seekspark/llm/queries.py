@@ -108,3 +108,26 @@ def op8_sentencepiece(spark, table):
     return decoded.select(
         "doc_id", "n_ids", "ids_crc32", (F.col("decoded") == F.col("text")).alias("round_trip")
     )
+
+
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+)
+
+
+@query
+def op11_url_filter(spark, table):
+    from seekspark.llm.url_rules import judge_urls
+
+    return judge_urls(table("pages"), "url", URL_RULES, "page_id")
+
+
+SQL["op11_url_filter"] = f"""WITH rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (SELECT row_number() OVER () AS row, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+raw AS (SELECT row, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+s AS (SELECT row, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM raw),
+m AS (SELECT s.*, verdict, h || p AS rule, row_number() OVER (PARTITION BY row ORDER BY length(h) DESC, length(p) DESC) AS place
+ FROM s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE place = 1"""
