@@ -131,3 +131,37 @@ s AS (SELECT row, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 m AS (SELECT s.*, verdict, h || p AS rule, row_number() OVER (PARTITION BY row ORDER BY length(h) DESC, length(p) DESC) AS place
  FROM s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE place = 1"""
+
+
+@query
+def op12_importance_resampling(spark, table):
+    from seekspark.llm.importance import importance_draw
+
+    return importance_draw(table("documents"), table("benchmark"))
+
+
+def _feature_counts(table: str) -> str:
+    return f"""{table}_r AS MATERIALIZED (SELECT row_number() OVER () AS row, * FROM {table}),
+{table}_w AS (SELECT row, word, i FROM (SELECT row, regexp_extract_all(
+ translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM {table}_r),
+ unnest(words) WITH ORDINALITY AS u(word, i)),
+{table}_f AS (SELECT row, feature, count(*) AS n FROM (SELECT row, word AS feature FROM {table}_w
+ UNION ALL SELECT row, word || ' ' || lead(word) OVER (PARTITION BY row ORDER BY i) FROM {table}_w) WHERE feature IS NOT NULL GROUP BY ALL)"""
+
+
+SQL["op12_importance_resampling"] = f"""WITH RECURSIVE {_feature_counts("documents")}, {_feature_counts("benchmark")},
+step(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+distinct_f AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM documents_f UNION SELECT feature FROM benchmark_f)),
+bucket AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+ lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM distinct_f, crc),
+s AS (SELECT b, sum(n) AS n FROM documents_f JOIN bucket USING (feature) GROUP BY b),
+t AS (SELECT b, sum(n) AS n FROM benchmark_f JOIN bucket USING (feature) GROUP BY b),
+total AS (SELECT (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) FROM s) AS sn, (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) FROM t) AS tn),
+gain AS (SELECT s.b, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (sn + 10000) / ((CAST(s.n AS DOUBLE) + 1) * (tn + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t ON s.b = t.b, total),
+weight AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM documents_f JOIN bucket USING (feature) JOIN gain USING (b) GROUP BY row),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM documents_r LEFT JOIN weight USING (row)),
+ranked AS (SELECT doc_id, n_features, weight, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 39)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 39"""
