@@ -165,3 +165,22 @@ scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight
 ranked AS (SELECT doc_id, n_features, weight, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 39)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM ranked
 UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 39"""
+
+
+@query
+def op13_periodic_runs(spark, table):
+    """The runs of each text, after a periodic tail was planted into one text in ten."""
+    from pyspark.sql import functions as F
+
+    from seekspark.llm.word_runs import longest_run, periodic_runs, with_planted_period
+
+    key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs(table("documents"), with_planted_period("text", key), "doc_id")
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(line, lambda text: F.concat(text, F.lit("\n"))), "")
+    best = found.withColumn("best", longest_run("runs"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
