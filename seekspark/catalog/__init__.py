@@ -2,7 +2,7 @@
 
 from seekspark.catalog.registry import ENTRIES, Tables
 from seekspark.catalog import (  # noqa: F401
-    evaluation, graphs, jobs, retrieval, runs, sources, texts,
+    evaluation, graphs, jobs, retrieval, runs, sources, storage, texts,
 )
 
 __all__ = ["ENTRIES", "Tables"]

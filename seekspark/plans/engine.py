@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from seekspark.functions.text import deterministic_keywords
 from seekspark.functions.vectors import Embedder, HashEmbedder
 from seekspark.operators import extraction, metrics, resolution
+from seekspark.operators.graph import graph_summary
 from seekspark.plans import agent, answers, indexing, ingest
 from seekspark.plans.options import RetrievalOptions
 from seekspark.plans.retrieval import Reranker, Retrieval, retrieve
 from seekspark.plans.traces import TraceStore
 from seekspark.scale import cut_lineage
-from seekspark.sources.files import Parser, discover, load_documents
-
-DOCUMENTS = (
-    "document_id string, source_uri string, title string, source_type string, "
-    "content_hash string, parser_name string, parser_version string, processing_hash string"
-)
-CHUNKS = (
-    "chunk_id string, document_id string, ordinal int, section_path array<string>, page_start int, "
-    "page_end int, char_start int, char_end int, text string, contextualized_text string, "
-    "token_count int, content_hash string, quality_class string"
-)
+from seekspark.sources.files import Parser, discover
+from seekspark.storage.closure import DependencyStore, edges, invalidation_closure
+from seekspark.storage.snapshots import SnapshotStore
+from seekspark.storage.stages import RunStore, StageRun, stage_listing
+from seekspark.streaming.files import watch_files
 
+# Gives completion rows for chunk rows, for instance by calling a language model.
+Completer = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Graph:
@@ -37,6 +37,55 @@ class Graph:
     aliases: DataFrame
     links: DataFrame
     quality: DataFrame
+    run_id: str = ""
+
+
+def graph_stages(run: StageRun, completions: DataFrame | None) -> dict[str, DataFrame]:
+    """The stored tables of a graph build; each stage reads what the one before it stored."""
+    tables: dict[str, DataFrame] = {}
+
+    def stage(name: str, build: Callable[[], dict[str, DataFrame]]) -> None:
+        tables.update(run.stage(name, build))
+
+    def read() -> dict[str, DataFrame]:
+        if completions is None:
+            raise ValueError(f"run {run.run_id} isn't complete")
+        judged = extraction.classify_completions(completions)
+        return {
+            "usable": judged.where("failure is null").withColumn("run_id", F.lit(run.run_id)),
+            "failed": judged.where("failure is not null").select("extraction_id", "chunk_id", "failure"),
+        }
+
+    def resolve() -> dict[str, DataFrame]:
+        found = resolution.resolve_entities(extraction.accepted_mentions(tables["entity_checks"]))
+        return dict(zip(("entities", "assignment", "aliases"), found))
+
+    def merge() -> dict[str, DataFrame]:
+        linked = extraction.accepted_mentions(tables["relation_checks"])
+        ends = linked.select("source_mention_id", "target_mention_id", "predicate", "description", "chunk_id")
+        keys = ["source_entity_id", "target_entity_id", "predicate"]
+        relations = cut_lineage(resolution.merge_relations(ends, tables["assignment"]))
+        located = resolution.locate_endpoints(ends, tables["assignment"])
+        relation_links = located.join(relations.select("relation_id", *keys), keys).select(
+            F.lit("relation").alias("kind"), F.col("relation_id").alias("object_id"), "chunk_id"
+        )
+        mentions = extraction.accepted_mentions(tables["entity_checks"])
+        entity_links = mentions.join(tables["assignment"], "mention_id").select(
+            F.lit("entity").alias("kind"), F.col("entity_id").alias("object_id"), "chunk_id"
+        )
+        return {"relations": relations, "links": entity_links.unionByName(relation_links).distinct()}
+
+    stage("read", read)
+    stage("entity_checks", lambda: {"entity_checks": extraction.validate_entities(tables["usable"])})
+    stage("relation_checks", lambda: {
+        "relation_checks": extraction.validate_relations(tables["usable"], tables["entity_checks"])
+    })
+    stage("resolve", resolve)
+    stage("merge", merge)
+    stage("quality", lambda: {
+        "quality": extraction.extraction_quality(tables["entity_checks"], tables["relation_checks"])
+    })
+    return tables
 
 
 class Engine:
@@ -47,70 +96,121 @@ class Engine:
         self.spark, self.root = spark, root.rstrip("/")
         self.embedder = embedder or HashEmbedder()
         self.parsers, self.reranker = parsers or {}, reranker
+        self.corpus = SnapshotStore(spark, f"{self.root}/corpus", ingest.store_schemas(), "document_id")
+        self.graphs = RunStore(spark, f"{self.root}/graphs")
+        self.dependencies = DependencyStore(spark, f"{self.root}/dependencies")
         self.indexes = indexing.IndexStore(spark, f"{self.root}/indexes")
         self.traces = TraceStore(spark, f"{self.root}/traces")
 
     # --- corpus -----------------------------------------------------------------
-    def _snapshot(self) -> str | None:
-        return self.indexes._read_text(f"{self.root}/SNAPSHOT") or None
-
-    def documents(self) -> DataFrame:
-        version = self._snapshot()
-        if version is None:
-            return self.spark.createDataFrame([], DOCUMENTS)
-        return self.spark.read.schema(DOCUMENTS).parquet(f"{self.root}/corpus/{version}/documents")
+    def documents(self, version: int | None = None) -> DataFrame:
+        return self.corpus.table("documents", version).drop("bucket")
 
-    def chunks(self) -> DataFrame:
-        version = self._snapshot()
-        if version is None:
-            return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.root}/corpus/{version}/chunks")
+    def chunks(self, version: int | None = None) -> DataFrame:
+        return self.corpus.table("chunks", version).drop("bucket")
 
     def ingest(self, folder: str, max_tokens: int = 512, overlap_tokens: int = 64) -> ingest.IngestResult:
-        """Read a folder and publish the next corpus snapshot with one pointer change."""
-        import uuid
+        """Read a folder and publish the next corpus version; unchanged files are skipped."""
+        found = discover(self.spark, folder, [".txt", ".md", ".markdown", *self.parsers])
+        return self.ingest_files(found, max_tokens, overlap_tokens)
 
-        loaded, failures = load_documents(discover(self.spark, folder, [".txt", ".md", ".markdown", *self.parsers]), self.parsers)
-        result = ingest.ingest(
-            loaded, failures, self.documents(), self.chunks(), max_tokens, overlap_tokens
+    def ingest_files(
+        self, files: DataFrame, max_tokens: int = 512, overlap_tokens: int = 64, notes: dict | None = None
+    ) -> ingest.IngestResult:
+        """Upsert file rows. What depends on a replaced document is marked stale before the
+        new version appears, so no reader finds a ready index over a changed corpus."""
+        plan = ingest.plan_ingest(self.corpus, files, self.parsers, max_tokens, overlap_tokens)
+        stale = self.invalidate_documents(plan.replaced, "source document changed")
+        version = ingest.commit_ingest(self.corpus, plan, notes)
+        return ingest.IngestResult(
+            self.documents(), self.chunks(), plan.actions, plan.replaced, plan.failures, stale, version
         )
-        actions = cut_lineage(result.actions)
-        version = uuid.uuid4().hex[:12]
-        out = f"{self.root}/corpus/{version}"
-        result.documents.write.parquet(f"{out}/documents")
-        result.chunks.write.parquet(f"{out}/chunks")
-        replaced = actions.where("action = 'update'").select("document_id")
-        if self.indexes.active() and not replaced.isEmpty():
-            self.indexes.invalidate(self.indexes.active(), "source document changed after indexing")
-        self.indexes._write_text(f"{self.root}/SNAPSHOT", version)
-        return ingest.IngestResult(self.documents(), self.chunks(), actions, replaced, failures)
 
-    # --- graph ------------------------------------------------------------------
-    def build_graph(self, completions: DataFrame) -> Graph:
-        """Graph from ``extraction_id, chunk_id, chunk_text, content, finish_reason`` rows."""
-        usable = extraction.classify_completions(completions).where(F.col("failure").isNull())
-        checked = cut_lineage(extraction.validate_entities(usable))
-        related = cut_lineage(extraction.validate_relations(usable, checked))
-        mentions = extraction.accepted_mentions(checked)
-        links = extraction.accepted_mentions(related)
-        entities, assignment, aliases = resolution.resolve_entities(mentions)
-        assignment = cut_lineage(assignment)
-        edges = links.select(
-            "source_mention_id", "target_mention_id", "predicate", "description", "chunk_id"
-        )
-        relations = cut_lineage(resolution.merge_relations(edges, assignment))
-        located = resolution.locate_endpoints(edges, assignment)
-        keys = ["source_entity_id", "target_entity_id", "predicate"]
-        relation_links = located.join(relations.select("relation_id", *keys), keys).select(
-            F.lit("relation").alias("kind"), F.col("relation_id").alias("object_id"), "chunk_id"
-        )
-        entity_links = mentions.join(assignment, "mention_id").select(
-            F.lit("entity").alias("kind"), F.col("entity_id").alias("object_id"), "chunk_id"
+    def remove_documents(self, ids: DataFrame) -> DataFrame:
+        """Delete documents by ``document_id``; returns what became stale."""
+        stale = self.invalidate_documents(ids, "source document removed")
+        self.corpus.replace(ids, {})
+        return stale
+
+    def watch(self, folder: str, checkpoint: str, name: str = "files") -> StreamingQuery:
+        """Upsert files as they arrive; what can't be read goes to the dead-letter table.
+
+        A batch that is replayed after a crash changes nothing: the store notes the last
+        batch of each stream in the same commit, and failures overwrite their own folder.
+        """
+
+        def upsert(batch: DataFrame, epoch: int) -> None:
+            if self.corpus.manifest()["notes"].get(f"stream:{name}", -1) >= epoch:
+                return
+            result = self.ingest_files(batch, notes={f"stream:{name}": epoch})
+            result.failures.write.mode("overwrite").parquet(f"{self.root}/dead_letter/stream={name}/epoch={epoch}")
+
+        return (
+            watch_files(self.spark, folder).writeStream.foreachBatch(upsert)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
-        return Graph(
-            cut_lineage(entities), relations, aliases, entity_links.unionByName(relation_links).distinct(),
-            extraction.extraction_quality(checked, related),
+
+    def dead_letters(self) -> DataFrame:
+        """``path, error, stream, epoch`` of files that no batch could read."""
+        schema = "path string, error string, stream string, epoch long"
+        folder = f"{self.root}/dead_letter"
+        if not self.graphs.files.exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(folder)
+
+    # --- what depends on what -----------------------------------------------------
+    def invalidate_documents(self, ids: DataFrame, reason: str) -> DataFrame:
+        """Closure over documents, their chunks, and the runs and profiles built from those.
+
+        Runs and profiles in it stop being offered to readers; both are counted in tens,
+        as they are builds, so their ids go through the driver.
+        """
+        changed = ids.select(F.lit("document").alias("kind"), F.col("document_id").cast("string").alias("id"))
+        held = self.corpus.table("chunks", buckets=self.corpus.touched(ids))
+        own = edges(held, "document", "document_id", "chunk", "chunk_id")
+        stale = invalidation_closure(own.unionByName(self.dependencies.edges()), changed)
+        for row in stale.where(F.col("kind").isin("run", "profile")).select("kind", "id").collect():
+            if row["kind"] == "run":
+                self.graphs.invalidate(row["id"], reason)
+            else:
+                self.indexes.invalidate(row["id"], reason)
+        return stale
+
+    # --- graph ------------------------------------------------------------------
+    def build_graph(self, completions: DataFrame | Completer, run_id: str | None = None) -> Graph:
+        """Graph from ``extraction_id, chunk_id, chunk_text, content, finish_reason`` rows.
+
+        ``completions`` may be a function that gives these rows for chunks; it is then asked
+        for the normal chunks in parts. With the ``run_id`` of a build that stopped, finished
+        stages and parts are read back and the rest goes on. The run is published at the end.
+        """
+        run_id = run_id or uuid.uuid4().hex[:12]
+        run = self.graphs.run(run_id)
+        if callable(completions):
+            chunks = self.chunks().where("quality_class = 'normal'")
+            completions = run.items("completions", chunks, "chunk_id", completions)
+        tables = graph_stages(run, completions)
+        used = edges(tables["usable"], "chunk", "chunk_id", "run", "run_id")
+        objects = tables["links"].select(
+            F.lit("chunk").alias("upstream_kind"), F.col("chunk_id").alias("upstream_id"), "kind", F.col("object_id").alias("id")
         )
+        self.dependencies.record(f"run-{run_id}", used.distinct().unionByName(objects))
+        summary = graph_summary(tables["entities"], tables["relations"]).first().asDict()
+        self.graphs.publish(run_id, summary)
+        return self.graph(run_id)
+
+    def graph(self, run_id: str | None = None) -> Graph:
+        """A stored graph: of a run, or the published one."""
+        wanted = run_id or self.graphs.active()
+        state = self.graphs.state(wanted) if wanted else None
+        if state is None or state["status"] != "ready":
+            raise ValueError("no ready graph run")
+        t = graph_stages(self.graphs.run(wanted), None)
+        return Graph(t["entities"], t["relations"], t["aliases"], t["links"], t["quality"], wanted)
+
+    def graph_stages(self) -> DataFrame:
+        """``run_id, stage, table, rows`` of all finished stages."""
+        return stage_listing(self.spark, f"{self.graphs.root}/runs")
 
     # --- index and questions ------------------------------------------------------
     def build_index(self, graph: Graph | None = None, force: bool = False) -> indexing.Index:
@@ -127,7 +227,13 @@ class Engine:
             F.concat_ws("\x1f", "kind", "object_id").alias("key"), F.sha2("embedding_text", 256).alias("hash")
         )
         fingerprint = indexing.content_fingerprint(hashed, "key", "hash").first()["fingerprint"] or ""
-        return self.indexes.build(chunks, entities, relations, links, self.embedder, fingerprint, force=force)
+        index = self.indexes.build(chunks, entities, relations, links, self.embedder, fingerprint, force=force)
+        profile = F.lit(index.profile_id).alias("profile_id")
+        own = index.chunks.select(F.col("object_id").alias("chunk_id"), profile)
+        derived = index.links.select("chunk_id", profile)
+        built_from = edges(own.unionByName(derived).distinct(), "chunk", "chunk_id", "profile", "profile_id")
+        self.dependencies.record(f"profile-{index.profile_id}", built_from)
+        return index
 
     def retrieve(
         self, questions: DataFrame, mode: str = "mix", options: RetrievalOptions | None = None,

@@ -13,6 +13,7 @@ from seekspark.functions.ids import canonical_json_hash, sha256_text, stable_id,
 from seekspark.functions.vectors import Embedder, embed_column
 from seekspark.operators.graph import dangling_endpoints
 from seekspark.operators.lexical import postings
+from seekspark.storage.files import SharedFiles
 
 KINDS = ("chunk", "entity", "relation")
 TEXT_SCHEMA_VERSION = "1"
@@ -162,39 +163,13 @@ class IndexStore:
     TABLES = ("chunks", "entities", "relations", "links", "postings")
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
-    def _write_text(self, path: str, text: str) -> None:
-        """Write aside and rename, so readers see the old or the new content."""
-        aside = f"{path}.{uuid.uuid4().hex}.tmp"
-        fs, source = self._fs(aside)
-        stream = fs.create(source, True)
-        stream.write(bytearray(text.encode("utf-8")))
-        stream.close()
-        _, target = self._fs(path)
-        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
-        option = getattr(hadoop, "Options$Rename")
-        overwrite = gateway.new_array(option, 1)
-        overwrite[0] = option.OVERWRITE
-        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(source), fs.makeQualified(target), overwrite)
-
-    def _read_text(self, path: str) -> str | None:
-        fs, target = self._fs(path)
-        if not fs.exists(target):
-            return None
-        return "\n".join(r["value"] for r in self.spark.read.text(path).collect())
+        self.spark, self.root, self.files = spark, root.rstrip("/"), SharedFiles(spark)
 
     def active(self) -> str | None:
-        return self._read_text(f"{self.root}/ACTIVE")
+        return self.files.read(f"{self.root}/ACTIVE")
 
     def manifest(self, profile_id: str) -> dict | None:
-        text = self._read_text(f"{self.root}/{profile_id}/MANIFEST")
+        text = self.files.read(f"{self.root}/{profile_id}/MANIFEST")
         return json.loads(text) if text else None
 
     def load(self, embedder: Embedder, profile_id: str | None = None) -> Index:
@@ -211,9 +186,9 @@ class IndexStore:
     def invalidate(self, profile_id: str, reason: str) -> None:
         manifest = self.manifest(profile_id)
         manifest.update(status="failed", error=reason)
-        self._write_text(f"{self.root}/{profile_id}/MANIFEST", json.dumps(manifest))
+        self.files.write(f"{self.root}/{profile_id}/MANIFEST", json.dumps(manifest))
         if self.active() == profile_id:
-            self._write_text(f"{self.root}/ACTIVE", "")
+            self.files.write(f"{self.root}/ACTIVE", "")
 
     def build(
         self, chunks: DataFrame, entities: DataFrame, relations: DataFrame, links: DataFrame,
@@ -246,6 +221,6 @@ class IndexStore:
             f"{folder}/postings"
         )
         manifest = {"status": "ready", "version": version, "config": config, "rows": expected, "fingerprint": fingerprint}
-        self._write_text(f"{self.root}/{profile_id}/MANIFEST", json.dumps(manifest))
-        self._write_text(f"{self.root}/ACTIVE", profile_id)
+        self.files.write(f"{self.root}/{profile_id}/MANIFEST", json.dumps(manifest))
+        self.files.write(f"{self.root}/ACTIVE", profile_id)
         return self.load(embedder, profile_id)

@@ -1,4 +1,4 @@
-"""Incremental ingestion: classify, chunk, and publish a new corpus snapshot."""
+"""Incremental ingestion: classify, chunk what changed, rewrite the touched buckets."""
 
 from __future__ import annotations
 
@@ -7,21 +7,39 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seekspark.functions.ids import canonical_json_hash
 from seekspark.functions.text import clean_text
 from seekspark.operators import chunking
-from seekspark.scale import computed_once
+from seekspark.scale import computed_once, cut_lineage, small_side
+from seekspark.sources.files import Parser, load_documents
+from seekspark.storage.snapshots import SnapshotStore
 
 CLEANER = "conservative-text-cleaner/2"
 VERSION_COLUMNS = ("content_hash", "parser_name", "parser_version", "processing_hash")
 
 
+DOCUMENTS = (
+    "document_id string, source_uri string, title string, source_type string, "
+    "content_hash string, parser_name string, parser_version string, processing_hash string"
+)
+CHUNKS = (
+    "chunk_id string, document_id string, ordinal int, section_path array<string>, page_start int, "
+    "page_end int, char_start int, char_end int, text string, contextualized_text string, "
+    "token_count int, content_hash string, quality_class string"
+)
+
+
 @dataclass
 class IngestResult:
+    """``stale`` is the invalidation closure: what the replaced documents made out of date."""
+
     documents: DataFrame
     chunks: DataFrame
     actions: DataFrame
     replaced: DataFrame
     failures: DataFrame
+    stale: DataFrame
+    version: int
 
 
 def is_current() -> Column:
@@ -73,29 +91,51 @@ def cleaned(documents: DataFrame) -> DataFrame:
     )
 
 
-def ingest(
-    incoming: DataFrame, failures: DataFrame, stored_documents: DataFrame, stored_chunks: DataFrame,
+def store_schemas() -> dict[str, str]:
+    return {"documents": DOCUMENTS, "chunks": CHUNKS}
+
+
+@dataclass
+class Plan:
+    """What one batch of files changes, before anything is written."""
+
+    actions: DataFrame
+    changed: DataFrame
+    documents: DataFrame
+    chunks: DataFrame
+    failures: DataFrame
+
+    @property
+    def replaced(self) -> DataFrame:
+        return self.actions.where("action = 'update'").select("document_id")
+
+
+def plan_ingest(
+    store: SnapshotStore, files: DataFrame, parsers: dict[str, Parser] | None = None,
     max_tokens: int = chunking.MAX_TOKENS, overlap_tokens: int = chunking.OVERLAP_TOKENS,
-) -> IngestResult:
-    """Next snapshot of documents and chunks; unchanged documents are not parsed again.
+) -> Plan:
+    """Compare ``files`` with the store; only new and changed ones are parsed and chunked.
 
-    ``replaced`` lists the documents whose derived graphs and indexes are now stale.
+    Versions are compared by hashes of the bytes, against the buckets of the incoming
+    documents alone.
     """
-    from seekspark.functions.ids import canonical_json_hash
-
     config = chunking.chunker_config("whitespace", max_tokens, overlap_tokens)
     processing = canonical_json_hash({"cleaner": CLEANER, "chunker": config})
-    versioned = incoming.withColumn("processing_hash", F.lit(processing))
-    actions = classify(versioned, stored_documents)
+    loaded, failures = load_documents(files, parsers)
+    heads = cut_lineage(
+        loaded.select("document_id", "path", *VERSION_COLUMNS[:3]).withColumn("processing_hash", F.lit(processing))
+    )
+    known = store.table("documents", buckets=store.touched(heads)).select("document_id", *VERSION_COLUMNS)
+    actions = cut_lineage(classify(heads, known))
     changed = actions.where("action <> 'skip'").select("document_id")
-    work = versioned.join(changed, "document_id", "left_semi")
-    new_chunks = chunking.chunk_documents(cleaned(work), max_tokens, overlap_tokens)
-    keep_documents = stored_documents.join(changed, "document_id", "left_anti")
-    keep_chunks = stored_chunks.join(changed, "document_id", "left_anti")
-    return IngestResult(
-        documents=keep_documents.unionByName(work.select(stored_documents.columns)),
-        chunks=keep_chunks.unionByName(new_chunks.select(stored_chunks.columns)),
-        actions=actions,
-        replaced=actions.where("action = 'update'").select("document_id"),
-        failures=failures,
+    paths = heads.join(changed, "document_id", "left_semi").select("path")
+    parsed, _ = load_documents(files.join(small_side(paths), "path", "left_semi"), parsers)
+    work = cut_lineage(parsed.withColumn("processing_hash", F.lit(processing)))
+    return Plan(
+        actions, changed, work, chunking.chunk_documents(cleaned(work), max_tokens, overlap_tokens), failures
     )
+
+
+def commit_ingest(store: SnapshotStore, plan: Plan, notes: dict | None = None) -> int:
+    """Publish the next version of documents and chunks; returns its number."""
+    return store.replace(plan.changed, {"documents": plan.documents, "chunks": plan.chunks}, notes)
