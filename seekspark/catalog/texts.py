@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.catalog.registry import Tables, query
 from seekspark.functions import ids, text, vectors
-from seekspark.operators import dense, lexical
+from seekspark.operators import blockmax, dense, lexical
 from seekspark.operators.fusion import min_max, top_k
+from seekspark.scale import checkpoint_dir
 
 # --- SQL fragments shared by several statements -------------------------------
 TOKENS_SQL = r"regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\x{{3400}}-\x{{9fff}}]+|[\p{{L}}\p{{N}}]+')"
@@ -99,6 +102,25 @@ def bm25_topk(t: Tables) -> DataFrame:
     return rounded(ranked, "score")
 
 
+def stored_lexical_index(t: Tables) -> blockmax.LexicalIndex:
+    folder = f"{checkpoint_dir(t.spark)}/lexical-{uuid.uuid4().hex}"
+    return blockmax.build_index(corpus(t), folder)
+
+
+@query(f"""WITH {bm25_sql()}, r AS ({ranked_sql('bm25', 8)})
+SELECT query_id, object_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r""")
+def bm25_indexed_topk(t: Tables) -> DataFrame:
+    """The same from a stored index, skipping blocks that can't reach the eighth score."""
+    return rounded(blockmax.search(stored_lexical_index(t), questions(t), 8).hits, "score")
+
+
+@query(f"""WITH {bm25_sql()} SELECT term, df, tokens FROM (SELECT 'word:' || term AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tokens FROM tfs GROUP BY term
+ UNION ALL SELECT '', count(*), CAST(sum(doc_len) AS BIGINT) FROM lens)""")
+def stored_term_statistics(t: Tables) -> DataFrame:
+    """Document and token counts per term as the stored index keeps them."""
+    return stored_lexical_index(t).terms
+
+
 @query(f"""WITH {dense_sql()}, r AS ({ranked_sql('dense', 8)})
 SELECT query_id, object_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r""")
 def dense_topk(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seekspark.functions.ids import canonical_json_hash, sha256_text, stable_id, stable_id_value
 from seekspark.functions.vectors import Embedder, embed_column
 from seekspark.operators.graph import dangling_endpoints
-from seekspark.operators.lexical import postings
+from seekspark.operators.blockmax import LexicalIndex, build_index, open_index
 from seekspark.storage.files import SharedFiles
 
 KINDS = ("chunk", "entity", "relation")
@@ -50,7 +50,7 @@ class Index:
     text, embedding_text, embedding. entities: object_id, name, embedding_text, embedding.
     relations: object_id, source_entity_id, target_entity_id, predicate, embedding_text,
     embedding. links: kind, object_id, chunk_id, the sources of entities and relations as
-    rows. postings: the stored inverted index, or None to build it from the chunks.
+    rows. lexical: the stored inverted index, or None to count the chunks for each batch.
     """
 
     chunks: DataFrame
@@ -58,7 +58,7 @@ class Index:
     relations: DataFrame
     links: DataFrame
     embedder: Embedder
-    postings: DataFrame | None = None
+    lexical: LexicalIndex | None = None
     profile_id: str = ""
     metadata: dict = field(default_factory=dict)
 
@@ -160,7 +160,7 @@ def profiles_touched(vectors: DataFrame, links: DataFrame, doomed_chunks: DataFr
 class IndexStore:
     """Versioned index folders below a shared root, and one pointer to the active one."""
 
-    TABLES = ("chunks", "entities", "relations", "links", "postings")
+    TABLES = ("chunks", "entities", "relations", "links")
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root, self.files = spark, root.rstrip("/"), SharedFiles(spark)
@@ -181,7 +181,8 @@ class IndexStore:
             raise ValueError("embedder differs from the stored index; rebuild it")
         folder = f"{self.root}/{wanted}/{manifest['version']}"
         tables = {name: self.spark.read.parquet(f"{folder}/{name}") for name in self.TABLES}
-        return Index(embedder=embedder, profile_id=wanted, metadata=manifest, **tables)
+        lexical = open_index(self.spark, f"{folder}/lexical")
+        return Index(embedder=embedder, profile_id=wanted, metadata=manifest, lexical=lexical, **tables)
 
     def invalidate(self, profile_id: str, reason: str) -> None:
         manifest = self.manifest(profile_id)
@@ -216,10 +217,8 @@ class IndexStore:
                 "vector_id", stable_id("vec", F.lit(profile_id), F.lit(name[:-1] if name != "entities" else "entity"), F.col("object_id"))
             ).write.parquet(f"{folder}/{name}")
         links.write.partitionBy("kind").parquet(f"{folder}/links")
-        # Ordered by term inside the files, so a few asked terms touch few row groups.
-        postings(chunks, "embedding_text").repartition("term").sortWithinPartitions("term").write.parquet(
-            f"{folder}/postings"
-        )
+        # Chunks of one document are neighbours, so its terms share few blocks.
+        build_index(chunks, f"{folder}/lexical", "embedding_text", ("document_id", "object_id"))
         manifest = {"status": "ready", "version": version, "config": config, "rows": expected, "fingerprint": fingerprint}
         self.files.write(f"{self.root}/{profile_id}/MANIFEST", json.dumps(manifest))
         self.files.write(f"{self.root}/ACTIVE", profile_id)

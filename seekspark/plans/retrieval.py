@@ -15,6 +15,7 @@ from seekspark.functions.text import (
     clean_keywords, clip_to_budget, comparison_subqueries, expanded_query, whitespace_tokens,
 )
 from seekspark.functions.vectors import embed_column, sigmoid
+from seekspark.operators.blockmax import search
 from seekspark.operators.dense import collect_queries, dense_top_k
 from seekspark.operators.fusion import (
     SCORE_DIGITS, budget_fold, document_anchors, inject_paths, min_max, top_k,
@@ -110,8 +111,11 @@ def chunk_route(asked: _Asked, mode: str, options: RetrievalOptions) -> Route:
     if weights.get("dense", 0.0) > 0.0:
         parts.append(asked.top(index.chunks, limit).select(*columns, F.lit("dense").alias("scorer")))
     if weights.get("bm25", 0.0) > 0.0:
-        corpus = index.chunks.select("object_id", F.col("embedding_text").alias("text"))
-        lexical = bm25_top_k(corpus, asked.texts, limit, options.bm25_k1, options.bm25_b, index.postings)
+        if index.lexical is not None:
+            lexical = search(index.lexical, asked.texts, limit, options.bm25_k1, options.bm25_b).hits
+        else:
+            corpus = index.chunks.select("object_id", F.col("embedding_text").alias("text"))
+            lexical = bm25_top_k(corpus, asked.texts, limit, options.bm25_k1, options.bm25_b)
         parts.append(lexical.select(*columns, F.lit("bm25").alias("scorer")))
     # At most 2 x limit rows per question: stored once, then read by every later step.
     scores = cut_lineage(_union(parts))
