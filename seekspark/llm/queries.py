@@ -97,17 +97,10 @@ def op8_sentencepiece(spark, table):
     """Every document encoded and decoded again: its number of ids, their checksum, and
     whether the text came back."""
     import public_tokenizers
-    from pyspark.sql import functions as F
 
-    from seekspark.llm.sentencepieces import decode_ids, encode_texts
+    from seekspark.llm.sentencepieces import round_trips
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = encode_texts(docs, path, "doc_id", "text").withColumn("n_ids", F.size("ids").cast("long"))
-    decoded = decode_ids(encoded, path, "doc_id", "text", "n_ids")
-    return decoded.select(
-        "doc_id", "n_ids", "ids_crc32", (F.col("decoded") == F.col("text")).alias("round_trip")
-    )
+    return round_trips(table("documents"), public_tokenizers.path("piece_bpe_32k.model"), "doc_id")
 
 
 URL_RULES = (

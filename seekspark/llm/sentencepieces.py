@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -29,7 +30,9 @@ MARK = 0x2581
 NONE = -1
 # Bits of a hash that a table of seen values is indexed by; most probes end there.
 SEEN_BITS = 21
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+# Slices of a megabyte whose new words are encoded together.
+GROUPED_SLICES = 4
 MEMO_BITS = 20
 
 
@@ -293,10 +296,42 @@ def _encode_words(
     return ids
 
 
-def encode_rows(
-    model: PieceModel, text: pa.Array, cache: dict | None = None, memo: PairMemo | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all rows and where each row begins."""
+class WordCache:
+    """Ids of words seen before, in two generations: when the young one is full, the old
+    one goes, and a word that is asked for again is young again."""
+
+    def __init__(self, most: int = CACHED_WORDS) -> None:
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: int) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.pop(key, None)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: int, ids: bytes) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
+
+
+@dataclass
+class _WordTable:
+    """The words of some rows: distinct ``keys``, the word and row of each place."""
+
+    keys: list[int]
+    code: np.ndarray
+    row: np.ndarray
+    rows: int
+    ids: list[bytes | None]
+    new: list[int]
+    points: np.ndarray  # those of the new words, one after the other
+    lengths: np.ndarray
+
+
+def _word_table(model: PieceModel, text: pa.Array, cache: WordCache) -> _WordTable:
     data, at = arrays.text_bytes(text)
     points, at = arrays.code_points(data, at)
     rows, size = len(at) - 1, np.diff(at)
@@ -315,23 +350,61 @@ def encode_rows(
     row = np.searchsorted(at, start, "right") - 1
     code, keys = pd.factorize(arrays.span_hashes(points, start, end))
     first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else code
-    cache = {} if cache is None else cache
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
     keys = keys.tolist()
-    new = np.array([i for i, k in enumerate(keys) if k not in cache], np.int64)
-    found = _encode_words(model, points, start[first[new]], end[first[new]], memo or PairMemo())
-    cache.update(zip([keys[i] for i in new], found))
-    ids = [cache[k] for k in keys]
-    count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), np.int32)
-    offset = np.cumsum(count) - count
-    length = count[code] if len(code) else np.zeros(0, np.int64)
-    out = flat[np.repeat(offset[code] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))] if len(code) else flat
-    total = np.bincount(row, weights=length, minlength=rows).astype(np.int64)
+    ids = [cache.get(k) for k in keys]
+    new = [i for i, known in enumerate(ids) if known is None]
+    a, length = start[first[new]], (end - start)[first[new]] if len(code) else np.zeros(0, np.int64)
+    where = np.repeat(a - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    return _WordTable(keys, code, row, rows, ids, new, points[where], length)
+
+
+def encode_groups(
+    model: PieceModel, texts: list[pa.Array], cache: WordCache | None = None, memo: PairMemo | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Piece ids of all rows and where each row begins, for each of ``texts``.
+
+    The new words of all texts are grouped by length together, so that the arrays of one
+    length are long; only those words are held, not the texts' code points.
+    """
+    cache = WordCache() if cache is None else cache
+    tables = [_word_table(model, text, cache) for text in texts]
+    keys = np.array([t.keys[i] for t in tables for i in t.new], np.uint64)
+    points = np.concatenate([t.points for t in tables])
+    lengths = np.concatenate([t.lengths for t in tables])
+    end = np.cumsum(lengths)
+    code, _ = pd.factorize(keys)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else code
+    found = _encode_words(model, points, (end - lengths)[first], end[first], memo or PairMemo())
+    for key, ids in zip(keys[first].tolist(), found):
+        cache.put(key, ids)
+    place = 0
+    for table in tables:
+        for i, c in zip(table.new, code[place : place + len(table.new)].tolist()):
+            table.ids[i] = found[c]
+        place += len(table.new)
+        yield _joined(table)
+
+
+def _joined(table: _WordTable) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, table.ids), np.int64, len(table.ids)) // 4
+    flat = np.frombuffer(b"".join(table.ids), np.int32)
+    code, out = table.code, flat
+    length = np.zeros(0, np.int64)
+    if len(code):
+        length = count[code]
+        offset = np.cumsum(count) - count
+        out = flat[np.repeat(offset[code] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+    total = np.bincount(table.row, weights=length, minlength=table.rows).astype(np.int64)
     return out, np.concatenate([[0], np.cumsum(total)])
 
 
+def encode_rows(
+    model: PieceModel, text: pa.Array, cache: WordCache | None = None, memo: PairMemo | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all rows and where each row begins."""
+    return next(encode_groups(model, [text], cache, memo))
+
+
 def _merge_long(parts: list[int], pairs: dict[int, int], total: int) -> list[int]:
     """Merges of a long word with a heap over linked parts."""
     import heapq
@@ -381,6 +454,23 @@ def _to_ids(model: PieceModel, numbers: list[int], points: np.ndarray, begin: in
     return np.array(out, np.int32).tobytes()
 
 
+def _encoded_parts(model: PieceModel, batches: Iterator[pa.RecordBatch]):
+    """``slice, ids, bounds`` of the texts in the first column, in order."""
+    cache, memo, group = WordCache(), PairMemo(), []
+
+    def encoded():
+        for part, (ids, at) in zip(group, encode_groups(model, [p.column(0) for p in group], cache, memo)):
+            yield part, ids, at
+
+    for part in arrays.slices(batches, "encoded_text"):
+        group.append(part)
+        if len(group) == GROUPED_SLICES:
+            yield from encoded()
+            group = []
+    if group:
+        yield from encoded()
+
+
 def encode_texts(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int) of every row of ``docs(text)``.
 
@@ -391,10 +481,7 @@ def encode_texts(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[int, bytes] = {}
-        memo = PairMemo()
-        for part in arrays.slices(batches, "encoded_text"):
-            ids, at = encode_rows(shared.value, part.column(0), cache, memo)
+        for part, ids, at in _encoded_parts(shared.value, batches):
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], names=[*part.schema.names[1:], "ids"])
 
@@ -402,6 +489,20 @@ def encode_texts(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
     return docs.select(docs["text"].alias("encoded_text"), *keep).mapInArrow(run, schema)
 
 
+def decode_rows(model: PieceModel, flat: np.ndarray, ends: np.ndarray) -> tuple[list[str], list[int]]:
+    """Texts of rows of ids, and the checksum of each row's ids."""
+    size = np.diff(model.output_at)
+    texts, crcs = [], []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        ids = flat[a:b]
+        length = size[ids]
+        where = np.repeat(model.output_at[ids] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        text = model.output[where].tobytes().decode("utf-8", "replace")
+        texts.append(text[1:] if model.prefix and text.startswith(" ") else text)
+        crcs.append(zlib.crc32(ids.astype("<i4").tobytes()))
+    return texts, crcs
+
+
 def decode_ids(rows: DataFrame, model_path: str, *keep: str) -> DataFrame:
     """``keep`` columns, ``decoded`` and ``ids_crc32`` of every row of ``rows(ids)``.
 
@@ -412,22 +513,11 @@ def decode_ids(rows: DataFrame, model_path: str, *keep: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        size = np.diff(model.output_at)
         for part in batches:
             column = part.column(0)
             flat = column.flatten().to_numpy(zero_copy_only=False)
             count = np.array([len(x) if x.is_valid else 0 for x in column]) if column.null_count else np.diff(column.offsets.to_numpy())
-            ends = np.concatenate([[0], np.cumsum(count)])
-            texts, crcs = [], []
-            for a, b in zip(ends[:-1], ends[1:]):
-                ids = flat[a:b]
-                length = size[ids]
-                where = np.repeat(model.output_at[ids] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-                raw = model.output[where].tobytes()
-                text = raw.decode("utf-8", "replace")
-                texts.append(text[1:] if model.prefix and text.startswith(" ") else text)
-                crcs.append(zlib.crc32(ids.astype("<i4").tobytes()))
+            texts, crcs = decode_rows(shared.value, flat, np.concatenate([[0], np.cumsum(count)]))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[1:], pa.array(texts, pa.string()), pa.array(crcs, pa.int64())],
                 names=[*part.schema.names[1:], "decoded", "ids_crc32"],
@@ -435,3 +525,24 @@ def decode_ids(rows: DataFrame, model_path: str, *keep: str) -> DataFrame:
 
     schema = rows.select(*keep).schema.add("decoded", "string").add("ids_crc32", "long")
     return rows.select("ids", *keep).mapInArrow(run, schema)
+
+
+def round_trips(docs: DataFrame, model_path: str, *keep: str) -> DataFrame:
+    """``keep`` columns, n_ids, ids_crc32 and whether the text came back (``round_trip``).
+
+    Encodes and decodes each row of ``docs(text)`` in one pass, as ``encode_texts`` and
+    ``decode_ids`` do; a null text counts as an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, at in _encoded_parts(shared.value, batches):
+            texts, crcs = decode_rows(shared.value, ids, at)
+            same = pc.equal(pa.array(texts, pa.string()), pc.fill_null(part.column(0).cast(pa.string()), ""))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[1:], pa.array(np.diff(at)), pa.array(crcs, pa.int64()), same],
+                names=[*part.schema.names[1:], "n_ids", "ids_crc32", "round_trip"],
+            )
+
+    schema = docs.select(*keep).schema.add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean")
+    return docs.select(docs["text"].alias("encoded_text"), *keep).mapInArrow(run, schema)

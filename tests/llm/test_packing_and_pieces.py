@@ -133,3 +133,26 @@ def test_encode_and_decode_round_trip(spark):
     for r in back:
         assert r["decoded"] == (texts[r["doc_id"]] or "").replace("▁", " ")
     assert encode_texts(docs.limit(0), PIECE_BPE, "doc_id").count() == 0
+
+
+def test_grouped_slices_and_small_caches_give_the_same_ids(spark, library, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "GROUPED_SLICES", 3)
+    monkeypatch.setattr(sentencepieces.arrays, "SLICE_BYTES", 200)
+    monkeypatch.setattr(sentencepieces, "CACHED_WORDS", 10)
+    texts = _texts(200, 6)
+    parts = [pa.array(texts[a : a + 30], pa.string()) for a in range(0, len(texts), 30)]
+    cache = sentencepieces.WordCache(10)
+    found = []
+    for ids, at in sentencepieces.encode_groups(load_model(PIECE_BPE), parts, cache):
+        found += [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])]
+    assert found == [library.encode(t or "") for t in texts]
+    assert len(cache.young) <= 5 and len(cache.old) <= 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = sentencepieces.round_trips(docs, PIECE_BPE, "doc_id").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        ids = library.encode(text)
+        assert (r["n_ids"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()))
+        assert r["round_trip"] == (text == text.replace("▁", " "))
+    assert sentencepieces.round_trips(docs.limit(0), PIECE_BPE, "doc_id").count() == 0
