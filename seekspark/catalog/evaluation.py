@@ -11,7 +11,7 @@ from seekspark.catalog.texts import (
     CORPUS_SQL, TOKENS_SQL, bm25_sql, corpus, dense_sql, embedded, questions, ranked_sql, rounded,
 )
 from seekspark.functions.text import lexical_tokens
-from seekspark.operators import dense, lexical, matching, metrics
+from seekspark.operators import citations, dense, lexical, matching, metrics
 
 NORMAL_SQL = r"replace(lower(trim(regexp_replace({}, '\s+', ' ', 'g'))), 'ß', 'ss')"
 GOLD_SQL = f"""bn AS MATERIALIZED (SELECT item_id, CAST(item_id AS VARCHAR) AS query_id, {NORMAL_SQL.format('text')} AS x FROM benchmark),
@@ -163,6 +163,47 @@ def question_type_report(t: Tables) -> DataFrame:
     return rounded(found, *metrics.METRICS)
 
 
+CITED_SQL = f"""{bm25_sql()}, {GOLD_SQL}, r AS ({ranked_sql('bm25', 8)}),
+ca AS (SELECT item_id, query_id AS case_id, item_id % 2 = 1 AS by_text FROM bn),
+tx AS (SELECT DISTINCT ca.case_id, md5(b.x) AS context, b.x FROM ca JOIN bn b ON b.item_id - ca.item_id IN (0, 1, 2) AND length(b.x) > 0 WHERE by_text),
+it AS (SELECT query_id AS case_id, object_id, row_number() OVER (PARTITION BY query_id ORDER BY r.rank % 3, r.rank DESC) AS rank FROM r WHERE CAST(object_id AS BIGINT) % 5 <> 0),
+cd AS (SELECT it.case_id, it.rank, list(context ORDER BY tx.x) AS cs FROM it JOIN tx USING (case_id) JOIN dn USING (object_id)
+ WHERE dn.x = tx.x OR (least(length(dn.x), length(tx.x)) >= 80 AND (contains(dn.x, tx.x) OR contains(tx.x, dn.x))) GROUP BY ALL),
+li AS (SELECT it.case_id, it.rank, md5(dn.x) AS identity, coalesce(cs, []) AS cs FROM it JOIN ca USING (case_id) JOIN dn USING (object_id) LEFT JOIN cd ON cd.case_id = it.case_id AND cd.rank = it.rank WHERE by_text),
+st(case_id, rank, seen, taken) AS (SELECT case_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR) FROM ca WHERE by_text
+ UNION ALL SELECT case_id, rank, list_concat(seen, CASE WHEN t IS NULL THEN [identity] ELSE [identity, t] END), t
+ FROM (SELECT li.case_id, li.rank, st.seen, li.identity, list_filter(li.cs, lambda c: NOT list_contains(st.seen, c))[1] AS t FROM st JOIN li ON li.case_id = st.case_id AND li.rank = st.rank + 1)),
+fl AS (SELECT case_id, rank FROM st WHERE taken IS NOT NULL
+ UNION ALL SELECT it.case_id, it.rank FROM it JOIN ca USING (case_id) JOIN gold ON gold.query_id = it.case_id AND gold.object_id = it.object_id WHERE NOT by_text),
+ag AS (SELECT case_id, count(*) AS matched, min(rank) AS best, sum(1 / log2(rank + 1)) AS dcg FROM fl GROUP BY 1),
+wa AS (SELECT case_id, count(*) AS relevant FROM (SELECT case_id, context FROM tx UNION ALL SELECT case_id, object_id FROM ca JOIN gold ON query_id = case_id WHERE NOT by_text) GROUP BY 1),
+re AS (SELECT case_id, count(*) AS n FROM it GROUP BY 1)
+SELECT case_id, CASE WHEN by_text THEN 'normalized_context_overlap' ELSE 'evidence_id' END AS matching_method, coalesce(relevant, 0) > 0 AS applicable, coalesce(relevant, 0) AS relevant_count,
+ coalesce(n, 0) AS retrieved_count, coalesce(matched, 0) AS matched_count, CASE WHEN relevant > 0 THEN CAST(best IS NOT NULL AS DOUBLE) END AS hit_at_k,
+ CASE WHEN relevant > 0 THEN round(coalesce(matched, 0) / relevant, 6) END AS recall_at_k, CASE WHEN relevant > 0 THEN round(coalesce(1 / best, 0.0), 6) END AS mrr,
+ CASE WHEN relevant > 0 THEN round(coalesce(dcg, 0.0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, CAST(least(relevant, greatest(coalesce(n, 0), 3)) + 1 AS BIGINT)) q(i)), 6) END AS ndcg_at_k
+FROM ca LEFT JOIN wa USING (case_id) LEFT JOIN re USING (case_id) LEFT JOIN ag USING (case_id)"""
+
+
+@query(f"WITH RECURSIVE {CITED_SQL}")
+def cited_evidence_scores(t: Tables) -> DataFrame:
+    """Cited evidence against gold ids for even passages, against reference texts for odd
+    ones: the passage and its two neighbours. Of the eight best documents those whose id
+    isn't divisible by five are cited, in an order of their own."""
+    number = F.col("item_id")
+    judged = t.benchmark.select(F.col("item_id").cast("string").alias("case_id"), (number % 2 == 1).alias("by_text"))
+    texts = t.benchmark.select(F.explode(F.transform(F.array(number, number - 1, number - 2), lambda n: n.cast("string"))).alias("case_id"), "text")
+    ranked = bm25_ranked(t).withColumn("citation_id", F.concat(F.lit("c"), "rank"))
+    body = t.documents.select(F.col("doc_id").cast("string").alias("identity"), "text")
+    evidence = ranked.join(body, "identity").select("case_id", "citation_id", "text", F.array("identity").alias("identities"))
+    order = F.struct(F.col("rank") % 3, -F.col("rank"))
+    cited = ranked.where(F.col("identity").cast("long") % 5 != 0).select("case_id", order.alias("position"), "citation_id")
+    unknown = judged.select("case_id", F.struct(F.lit(0), F.lit(-99)).alias("position"), F.lit("c99").alias("citation_id"))
+    items = citations.cited_items(evidence, cited.union(unknown))
+    found = citations.evidence_scores(judged, items, gold_identities(t), texts.join(judged.where("by_text"), "case_id", "left_semi"), 3, whole=True)
+    return rounded(found, "recall_at_k", "mrr", "ndcg_at_k")
+
+
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
  p AS (SELECT a.label, a.vec_id, max(greatest(-1.0, least(1.0, list_cosine_similarity(a.e, b.e)))) AS best FROM v a LEFT JOIN v b ON a.label = b.label AND b.vec_id % 7 = 0 AND a.vec_id % 7 <> 0 WHERE a.vec_id % 7 <> 0 GROUP BY ALL),
  q AS (SELECT label, coalesce(best, -1.0) AS best FROM p)

@@ -12,6 +12,7 @@ from seekspark.catalog.texts import (
 )
 from seekspark.functions.text import deterministic_keywords
 from seekspark.functions.vectors import HashEmbedder, embed_column
+from seekspark.operators import digests
 from seekspark.operators.fusion import (
     best_path_per_key, select_within_budget, top_k_with_anchors, weighted_fusion,
 )
@@ -302,8 +303,32 @@ def index_kind_totals(t: Tables) -> DataFrame:
     return indexing.kind_counts(indexing.index_items(index.chunks, index.entities, index.relations))
 
 
-@query("""WITH l AS (SELECT sha256(CAST(doc_id AS VARCHAR) || chr(31) || sha256(text)) AS leaf FROM documents), b AS (SELECT substr(leaf, 1, 3) AS k, sha256(string_agg(leaf, '' ORDER BY leaf)) AS h FROM l GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY k)) AS fingerprint FROM b""")
+TREE_SQL = """t3 AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS p, sha256(string_agg(l, '' ORDER BY l)) AS h, count(*) AS n FROM (SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(31) || sha256(text)) AS l FROM documents) GROUP BY 1),
+ t2 AS (SELECT substr(p, 1, 2) AS q, sha256(string_agg(p || h, '' ORDER BY p)) AS h, sum(n) AS n FROM t3 GROUP BY 1), t1 AS (SELECT substr(q, 1, 1) AS r, sha256(string_agg(q || h, '' ORDER BY q)) AS h, sum(n) AS n FROM t2 GROUP BY 1),
+ t0 AS (SELECT '' AS s, sha256(string_agg(r || h, '' ORDER BY r)) AS h, sum(n) AS n FROM t1)"""
+
+
+@query(f"""WITH {TREE_SQL} SELECT CAST(level AS INTEGER) AS level, prefix, digest, CAST(n AS BIGINT) AS n FROM (SELECT 3 AS level, p AS prefix, h AS digest, n FROM t3 UNION ALL SELECT 2, q, h, n FROM t2 UNION ALL SELECT 1, r, h, n FROM t1 UNION ALL SELECT 0, s, h, n FROM t0)""")
+def corpus_digest_tree(t: Tables) -> DataFrame:
+    hashed = t.documents.select(F.col("doc_id").cast("string").alias("object_id"), F.sha2("text", 256).alias("content_hash"))
+    return digests.digest_tree(hashed, "object_id", "content_hash", 3)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS object_id, CASE source WHEN 'src3' THEN 'changed' WHEN 'src5' THEN 'removed' ELSE 'added' END AS change FROM documents WHERE source IN ('src3', 'src5', 'src7')""")
+def snapshot_differences(t: Tables) -> DataFrame:
+    """Two snapshots compared through their trees: one source is changed, one missing in
+    the second, one missing in the first; rows are read below differing nodes only."""
+    def snapshot(left_out: str, text) -> DataFrame:
+        kept = t.documents.where(F.col("source") != left_out)
+        return kept.select(F.col("doc_id").cast("string").alias("object_id"), F.sha2(text, 256).alias("content_hash"))
+
+    old = snapshot("src7", F.col("text"))
+    new = snapshot("src5", F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    trees = [digests.digest_tree(rows, "object_id", "content_hash", 3) for rows in (old, new)]
+    return digests.changed_rows(old, new, digests.differing_leaves(*trees, 3), "object_id", "content_hash", 3)
+
+
+@query(f"""WITH {TREE_SQL} SELECT h AS fingerprint FROM t0""")
 def corpus_fingerprint(t: Tables) -> DataFrame:
     hashed = t.documents.select(F.col("doc_id").cast("string").alias("object_id"), F.sha2("text", 256).alias("content_hash"))
     return indexing.content_fingerprint(hashed, "object_id", "content_hash")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,70 +188,60 @@ def expand_one_hop(
     return selected, exhausted
 
 
+def undirected_edges(relations: DataFrame) -> DataFrame:
+    """``a, b, relation_id``: both directions of each linked pair, once, without loops."""
+    return (
+        adjacency(relations)
+        .where("entity_id <> neighbor_id")
+        .groupBy(F.col("entity_id").alias("a"), F.col("neighbor_id").alias("b"))
+        .agg(F.min("relation_id").alias("relation_id"))
+    )
+
+
 def shortest_paths(pairs: DataFrame, relations: DataFrame, max_hops: int) -> DataFrame:
     """Undirected shortest paths of ``pairs(source, target)`` up to ``max_hops`` edges.
 
-    Walks meet in the middle, so at most ``max_hops / 2`` frontier joins start from
-    either end, and each keeps one path per (end, node). Among equally short paths the
-    smallest node sequence wins; parallel edges give their smallest relation id.
-    Output ``source, target, node_ids, relation_ids``.
+    The search grows from both ends in turn and keeps one path per (end, node). Edges are
+    derived once and stored; each hop joins them with a stored frontier, which is broadcast
+    while it is small, so that neither the edges nor a hub's neighbours are exchanged.
+    Pairs that have met drop out, and only ends of the others grow further. Among equally
+    short paths the smallest node sequence wins; parallel edges give their smallest
+    relation id. Output ``source, target, node_ids, relation_ids``.
     """
     if not 1 <= max_hops <= 4:
         raise ValueError("max_hops must be between 1 and 4")
-    edge = (
-        adjacency(relations)
-        .where("entity_id <> neighbor_id")
-        .groupBy(F.col("entity_id").alias("a"), F.col("neighbor_id").alias("b"))
-        .agg(F.min("relation_id").alias("relation_id"))
-    )
+    edge = cut_lineage(undirected_edges(relations))
     steps = edge.select("a", "b")
-    asked = pairs.select("source", "target").where("source <> target").distinct()
-    ahead = [
-        asked.select(F.col("source").alias("end")).distinct()
-        .select("end", F.col("end").alias("node"), F.array("end").alias("path"))
-    ]
-    back = [
-        asked.select(F.col("target").alias("end")).distinct()
-        .select("end", F.col("end").alias("node"), F.array("end").alias("path"))
-    ]
-    for _ in range((max_hops + 1) // 2):
-        grown = ahead[-1].join(steps, F.col("node") == F.col("a"))
-        ahead.append(
-            grown.groupBy("end", F.col("b").alias("node")).agg(
-                F.min(F.concat("path", F.array("b"))).alias("path")
-            )
-        )
-    for _ in range(max_hops // 2):
-        grown = back[-1].join(steps, F.col("node") == F.col("a"))
-        back.append(
-            grown.groupBy("end", F.col("b").alias("node")).agg(
-                F.min(F.concat(F.array("b"), "path")).alias("path")
-            )
-        )
-    found = None
+    asked = cut_lineage(pairs.select("source", "target").where("source <> target").distinct())
+    reached = {
+        side: asked.select(F.col(side).alias("end"), F.col(side).alias("node"), F.array(side).alias("path")).distinct()
+        for side in ("source", "target")
+    }
+    found = []
     for hops in range(1, max_hops + 1):
-        left = ahead[(hops + 1) // 2].select(
-            F.col("end").alias("source"), "node", F.col("path").alias("head")
-        )
-        right = back[hops // 2].select(
-            F.col("end").alias("target"), "node", F.col("path").alias("tail")
-        )
+        side = "source" if hops % 2 else "target"
+        ends = asked.select(F.col(side).alias("end")).distinct()
+        frontier = cut_lineage(reached[side].join(small_side(ends), "end", "left_semi"))
+        path = F.concat("path", F.array("b")) if side == "source" else F.concat(F.array("b"), "path")
+        grown = steps.join(small_side(frontier), F.col("a") == F.col("node")).select("end", F.col("b").alias("node"), path.alias("path"))
+        reached[side] = cut_lineage(grown.groupBy("end", "node").agg(F.min("path").alias("path")))
+        left = reached["source"].select(F.col("end").alias("source"), "node", F.col("path").alias("head"))
+        right = reached["target"].select(F.col("end").alias("target"), "node", F.col("path").alias("tail"))
         met = asked.join(left, "source").join(right, ["target", "node"]).select(
-            "source",
-            "target",
-            F.lit(hops).alias("hops"),
-            F.concat("head", F.slice("tail", F.lit(2), F.size("tail"))).alias("node_ids"),
+            "source", "target", F.concat("head", F.slice("tail", F.lit(2), F.size("tail"))).alias("node_ids")
         )
-        found = met if found is None else found.unionByName(met)
-    shortest = found.groupBy("source", "target").agg(
-        F.min(F.struct("hops", "node_ids")).alias("best")
-    ).select("source", "target", "best.hops", "best.node_ids")
+        best = cut_lineage(met.groupBy("source", "target").agg(F.min("node_ids").alias("node_ids")))
+        found.append(best)
+        asked = cut_lineage(asked.join(small_side(best.select("source", "target")), ["source", "target"], "left_anti"))
+        if asked.isEmpty():
+            break
+    shortest = reduce(DataFrame.unionByName, found)
     hop_rows = shortest.select(
         "source", "target", "node_ids",
-        F.posexplode(F.slice("node_ids", F.lit(1), F.col("hops"))).alias("at", "a"),
+        F.posexplode(F.slice("node_ids", F.lit(1), F.size("node_ids") - 1)).alias("at", "a"),
     ).withColumn("b", F.get("node_ids", F.col("at") + 1))
     return (
-        hop_rows.join(edge, ["a", "b"])
+        edge.join(small_side(hop_rows), ["a", "b"])
         .groupBy("source", "target", "node_ids")
         .agg(
             F.transform(

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekspark.functions.vectors import cosine
+from seekspark.operators.quantiles import nearest_ranks
+from seekspark.operators.setjoin import most_similar
 from seekspark.scale import small_side
 
 # --- fixed values ------------------------------------------------------------
@@ -148,12 +150,15 @@ def by_question_type(scores: DataFrame, metrics: Sequence[str] = METRICS) -> Dat
 
 
 def latency_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Mean and nearest-rank percentiles, without interpolation."""
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("latency_mean"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("latency_p50"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("latency_p95"),
+    """Mean and nearest-rank percentiles, without interpolation; null values don't count."""
+    shares = {"latency_p50": 0.5, "latency_p95": 0.95}
+    found = nearest_ranks(df, value, keys, list(shares.values()))
+    wide = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("share") == share, F.col("result"))).alias(name) for name, share in shares.items()]
     )
+    means = df.groupBy(*keys).agg(F.avg(value).alias("latency_mean"))
+    joined = means.join(small_side(wide), list(keys), "left") if keys else means.join(F.broadcast(wide))
+    return joined.select(*keys, "latency_mean", *shares)
 
 
 def semantic_scores(
@@ -434,36 +439,17 @@ def coverage_by_document(documents: DataFrame, links: DataFrame) -> DataFrame:
 def related_context(primaries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Most similar candidate document by Jaccard of distinct terms.
 
-    Both are ``id, group_id, term`` rows; a primary meets candidates of its own
-    ``group_id`` only through shared terms. Candidates without any shared term tie at
-    zero, where the smallest id stands for them.
+    Both are distinct ``id, group_id, term`` rows; a primary meets candidates of its own
+    ``group_id`` through the filters of the set join. Candidates without any shared term
+    tie at zero, where the smallest id stands for them.
     """
-    left_size = primaries.groupBy("group_id", "id").agg(F.count("*").alias("left_size"))
-    right_size = candidates.groupBy("group_id", "id").agg(F.count("*").alias("right_size"))
-    shared = (
-        candidates.select("group_id", F.col("id").alias("right_id"), "term")
-        .join(
-            small_side(primaries.select("group_id", F.col("id").alias("left_id"), "term")),
-            ["group_id", "term"],
-        )
-        .groupBy("group_id", "left_id", "right_id")
-        .agg(F.count("*").alias("common"))
-    )
-    lefts = left_size.withColumnRenamed("id", "left_id")
-    rights = right_size.withColumnRenamed("id", "right_id")
-    scored = shared.join(lefts, ["group_id", "left_id"]).join(rights, ["group_id", "right_id"]).select(
-        "group_id", "left_id", "right_id",
-        (F.col("common") / (F.col("left_size") + F.col("right_size") - F.col("common"))).alias("jaccard"),
-    )
-    best = scored.groupBy("group_id", "left_id").agg(
-        F.min_by(F.struct("right_id", "jaccard"), F.struct(-F.round("jaccard", 12), F.col("right_id"))).alias("best")
-    )
-    fallback = rights.groupBy("group_id").agg(F.min("right_id").alias("smallest"))
+    lefts = primaries.select("group_id", "id").distinct()
+    best = most_similar(primaries, candidates).withColumnRenamed("left_id", "id")
+    fallback = candidates.groupBy("group_id").agg(F.min("id").alias("smallest"))
     return (
-        lefts.join(small_side(fallback), "group_id", "left").join(best, ["group_id", "left_id"], "left")
+        lefts.join(small_side(fallback), "group_id", "left").join(best, ["group_id", "id"], "left")
         .select(
-            "group_id", F.col("left_id").alias("id"),
-            F.coalesce("best.right_id", "smallest").alias("related_id"),
-            F.coalesce("best.jaccard", F.lit(0.0)).alias("jaccard"),
+            "group_id", "id", F.coalesce("right_id", "smallest").alias("related_id"),
+            F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"),
         )
     )

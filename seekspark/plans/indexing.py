@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.functions.ids import canonical_json_hash, sha256_text, stable_id, stable_id_value
+from seekspark.functions.ids import canonical_json_hash, stable_id, stable_id_value
 from seekspark.functions.vectors import Embedder, embed_column
 from seekspark.operators.graph import dangling_endpoints
+from seekspark.operators.digests import digest_tree
 from seekspark.operators.blockmax import LexicalIndex, build_index, open_index
 from seekspark.storage.files import SharedFiles
 
@@ -109,23 +110,14 @@ def kind_counts(items: DataFrame) -> DataFrame:
     return F.broadcast(domain).join(counted, "kind", "left").fillna(0, ["n"])
 
 
-def content_fingerprint(rows: DataFrame, key: str, content_hash: str) -> DataFrame:
-    """One hash over a whole table: hashes of 4096 key ranges, then a hash of those.
+def content_fingerprint(rows: DataFrame, key: str, content_hash: str, depth: int = 3) -> DataFrame:
+    """One hash over a whole table: the root of its digest tree, null for an empty one.
 
     A single sorted string, as one would build it for a small corpus, cannot exist for
-    a large one; the two levels keep every group small and the value deterministic.
+    a large one; the tree keeps every group small and the value deterministic.
     """
-    leaf = sha256_text(F.concat_ws("\x1f", F.col(key), F.col(content_hash)))
-    leaves = rows.select(leaf.alias("leaf"))
-    buckets = leaves.groupBy(F.substring("leaf", 1, 3).alias("bucket")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), ""), 256).alias("hash")
-    )
-    return buckets.agg(
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "hash"))), lambda b: b["hash"]), ""),
-            256,
-        ).alias("fingerprint")
-    )
+    tree = digest_tree(rows, key, content_hash, depth)
+    return tree.agg(F.max(F.when(F.col("level") == 0, F.col("digest"))).alias("fingerprint"))
 
 
 def semantic_config(embedder: Embedder) -> dict:
