@@ -32,9 +32,13 @@ EMISSION_SHARE = 2e-5
 LOCAL_SHARE = 2e-6
 SUFFIX_BYTES = 3
 SUFFIX_CLASSES = 2048
-# Each reads all training texts.
+# Each iteration reads all training texts. They end when the log10 likelihood per token
+# has grown by less than LEAST_GAIN, or after ITERATIONS.
 ITERATIONS = 9
+LEAST_GAIN = 1e-3
 SEGMENT = 256
+# Pieces that advance together.
+BLOCK_ROWS = 512
 # Weight of the corpus-wide word distribution in each state's emissions, in tokens.
 PRIOR = 200.0
 SEED = 7
@@ -107,6 +111,14 @@ def _vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(word, n, symbols, own, mass + kinds + 1, unigram, tokens, types)
 
 
+def _as_bytes(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Rows of 32-bit numbers as binary values, which Spark reads many times faster than
+    arrays of numbers."""
+    ends = pa.array((4 * at).astype(np.int32))
+    raw = pa.py_buffer(np.ascontiguousarray(values.astype("<i4")))
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends.buffers()[1], raw])
+
+
 def _encoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -142,7 +154,7 @@ def _encoder(shared):
                 [
                     *part.columns[1:],
                     pa.array(row_id + np.arange(rows)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(line)),
+                    _as_bytes(line, np.concatenate([[0], stop])),
                     pa.array(n + 1),
                     pa.array(np.bincount(row[local], minlength=rows)),
                     pa.array(base.astype(np.float64)),
@@ -179,11 +191,13 @@ def first_parameters(unigram: np.ndarray, states: int = STATES) -> Parameters:
 
 
 def _segments(symbols: pa.Array, limit: int | None):
-    """Start, length and whether a text starts, longest first; cut at ``limit``."""
+    """Start, length and whether a text starts, longest first; cut at ``limit``.
+
+    A row's symbols are the bytes of 32-bit numbers."""
     if isinstance(symbols, pa.ChunkedArray):
         symbols = symbols.combine_chunks()
-    at = symbols.offsets.to_numpy().astype(np.int64)
-    flat = symbols.values.to_numpy()
+    data, at = arrays.text_bytes(symbols.cast(pa.binary()))
+    flat, at = data.view("<i4"), at // 4
     begin, size = at[:-1], np.diff(at)
     opens = np.ones(len(begin), bool)
     if limit:
@@ -196,45 +210,58 @@ def _segments(symbols: pa.Array, limit: int | None):
     return flat, begin[order], size[order], opens[order], order
 
 
-def expected_counts(model: Parameters, symbols: pa.Array, start, moves, emissions) -> None:
-    """Add the expected counts of some texts to the three arrays (Baum-Welch)."""
+def expected_counts(model: Parameters, symbols: pa.Array, start, moves, emissions) -> float:
+    """Add the expected counts of some texts to the arrays (Baum-Welch); ``emissions`` has
+    a row per state. Returns the log10 likelihood of the texts' pieces.
+
+    The rows of one step stand one after the other, steps in order, so that emissions are
+    gathered once and the counts of a state are summed over contiguous memory.
+    """
     flat, begins, sizes, opened, _ = _segments(symbols, SEGMENT)
     states = len(model.start)
-    steady = model.steady()
-    for block in range(0, len(begins), 512):
-        begin, size, opens = (x[block : block + 512] for x in (begins, sizes, opened))
+    steady, ones = model.steady(), np.ones(states)
+    back = np.ascontiguousarray(model.moves.T)
+    likelihood = 0.0
+    for block in range(0, len(begins), BLOCK_ROWS):
+        begin, size, opens = (x[block : block + BLOCK_ROWS] for x in (begins, sizes, opened))
         longest = int(size[0])
         active = np.searchsorted(-size, -np.arange(longest), "left")  # rows longer than t
-        active = np.array([int((size > t).sum()) for t in range(longest)]) if longest < 2 else active
-        alpha, scale, seen = [], [], []
+        edge = np.concatenate([[0], np.cumsum(active)])
+        step = np.repeat(np.arange(longest), active)
+        at = flat[begin[np.arange(edge[-1]) - np.repeat(edge[:-1], active)] + step]
+        emitted = model.emissions[at]
+        alpha, inverse = np.empty((len(at), states)), np.empty((len(at), 1))
         now = np.where(opens[:, None], model.start, steady)
         for t in range(longest):
-            n = active[t]
-            at = flat[begin[:n] + t]
-            seen.append(at)
-            now = now[:n] * model.emissions[at] if t == 0 else (now[:n] @ model.moves) * model.emissions[at]
-            total = now.sum(1, keepdims=True)
-            now = now / total
-            alpha.append(now)
-            scale.append(total)
-        beta = np.zeros((len(begin), states))
-        gammas = [None] * longest
+            here = slice(edge[t], edge[t + 1])
+            rows, n = alpha[here], active[t]
+            if t:
+                np.matmul(now[:n], model.moves, out=rows)
+                rows *= emitted[here]
+            else:
+                np.multiply(now, emitted[here], out=rows)
+            np.divide(1.0, rows.dot(ones), out=inverse[here, 0])
+            rows *= inverse[here]
+            now = rows
+        likelihood -= float(np.log10(inverse).sum())
+        emitted *= inverse
+        gamma = alpha.copy()
+        beta = np.ones((len(begin), states))
         pair = np.zeros((states, states))
-        live = 0
         for t in range(longest - 1, -1, -1):
-            n = active[t]
-            beta[live:n] = 1.0
-            live = n
-            gammas[t] = alpha[t] * beta[:n]
+            here, n = slice(edge[t], edge[t + 1]), active[t]
+            gamma[here] *= beta[:n]
             if t:
-                weighted = model.emissions[seen[t]] * beta[:n] / scale[t]
-                pair += alpha[t - 1][:n].T @ weighted
-                beta[:n] = weighted @ model.moves.T
+                weighted = emitted[here]
+                weighted *= beta[:n]
+                pair += alpha[edge[t - 1] : edge[t - 1] + n].T @ weighted
+                np.matmul(weighted, back, out=beta[:n])
         moves += pair * model.moves
-        start += gammas[0][opens].sum(0)
-        at, gamma = np.concatenate(seen), np.concatenate(gammas)
+        start += gamma[: active[0]][opens].sum(0)
+        gamma = np.ascontiguousarray(gamma.T)
         for k in range(states):
-            emissions[:, k] += np.bincount(at, weights=gamma[:, k], minlength=len(emissions))
+            emissions[k] += np.bincount(at, weights=gamma[k], minlength=emissions.shape[1])
+    return likelihood
 
 
 def forward_log10(model: Parameters, symbols: pa.Array) -> np.ndarray:
@@ -256,39 +283,43 @@ def forward_log10(model: Parameters, symbols: pa.Array) -> np.ndarray:
     return back
 
 
+# Rows of the sums beside the emissions: the log likelihood, the start, and the moves.
+LIKELIHOOD, START, MOVES = -1, -2, -3
+
+
 def _counter(shared, states: int):
     names = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         start, moves = np.zeros(states), np.zeros((states, states))
-        emissions = np.zeros(model.emissions.shape)
+        emissions = np.zeros(model.emissions.shape[::-1])
+        likelihood = np.zeros(states)
         for batch in batches:
-            expected_counts(model, batch.column(0), start, moves, emissions)
-        # Rows -1 and below are the start and the moves, the others emissions.
-        used = np.flatnonzero(emissions.any(1))
-        rows = np.concatenate([[-1], -2 - np.arange(states), used]).astype(np.int32)
-        values = np.concatenate([start[None, :], moves, emissions[used]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows), *[pa.array(np.ascontiguousarray(values[:, k])) for k in range(states)]], names=["row", *names]
-        )
+            likelihood[0] += expected_counts(model, batch.column(0), start, moves, emissions)
+        used = np.flatnonzero(emissions.any(0))
+        rows = np.concatenate([[LIKELIHOOD, START], MOVES - np.arange(states), used]).astype(np.int32)
+        values = np.concatenate([likelihood[:, None], start[:, None], moves.T, emissions[:, used]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(v) for v in values]], names=["row", *names])
 
     return run, "row int, " + ", ".join(f"{n} double" for n in names), names
 
 
-def _iterate(model: Parameters, sequences: DataFrame, vocabulary: Vocabulary) -> Parameters:
+def _iterate(model: Parameters, sequences: DataFrame, vocabulary: Vocabulary) -> tuple[Parameters, float]:
+    """The next parameters, and the log10 likelihood under those before."""
     states = len(model.start)
     shared = sequences.sparkSession.sparkContext.broadcast(model)
     run, schema, names = _counter(shared, states)
     sums = sequences.select("symbols").mapInArrow(run, schema).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    shared.unpersist()
+    shared.destroy()
     row, value = sums["row"].to_numpy(), sums[names].to_numpy()
     start, moves = np.full(states, 0.1), np.full((states, states), 0.1)
-    start += value[row == -1].sum(0)
+    start += value[row == START].sum(0)
     emissions = PRIOR * (vocabulary.unigram / vocabulary.unigram.sum())[:, None] * np.ones(states)
     emissions[row[row >= 0]] += value[row >= 0]
-    moves[-2 - row[row <= -2]] += value[row <= -2]
-    return Parameters(start / start.sum(), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(0))
+    moves[MOVES - row[row <= MOVES]] += value[row <= MOVES]
+    after = Parameters(start / start.sum(), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(0))
+    return after, float(value[row == LIKELIHOOD].sum())
 
 
 def score_texts(docs: DataFrame, is_training: Column, states: int = STATES, *keep: str) -> DataFrame:
@@ -312,15 +343,19 @@ def score_texts(docs: DataFrame, is_training: Column, states: int = STATES, *kee
     vocabulary = _vocabulary(counts, texts)
     schema = held.drop("text").schema
     for name, kind in (
-        ("row_id", "long"), ("symbols", T.ArrayType(T.IntegerType())), ("n_tokens", "long"), ("known", "long"),
+        ("row_id", "long"), ("symbols", "binary"), ("n_tokens", "long"), ("known", "long"),
         ("base", "double"), ("shares", "double"), ("rest", T.ArrayType(T.LongType())),
     ):
         schema = schema.add(name, kind)
     encoded = held.mapInArrow(_encoder(spark.sparkContext.broadcast(vocabulary)), schema)
     encoded = stored(encoded, "training")
     model = first_parameters(vocabulary.unigram + 1e-9, states)
+    before = None
     for _ in range(ITERATIONS if texts else 0):
-        model = _iterate(model, encoded.where("training"), vocabulary)
+        model, likelihood = _iterate(model, encoded.where("training"), vocabulary)
+        if before is not None and likelihood - before < LEAST_GAIN * vocabulary.tokens:
+            break
+        before = likelihood
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

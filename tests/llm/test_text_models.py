@@ -154,7 +154,7 @@ def test_forward_and_counts_equal_enumeration():
     k, size = 3, 6
     model = hidden_markov.Parameters(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(size), k).T)
     sequences = [[0], [3, 0], [1, 2, 5, 0], [4, 4, 1, 3, 0]]
-    start, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+    start, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros((k, size))
     expected = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
     logs = []
     for s in sequences:
@@ -172,10 +172,11 @@ def test_forward_and_counts_equal_enumeration():
                 expected[2][s[t], path[t]] += p / total
                 if t:
                     expected[1][path[t - 1], path[t]] += p / total
-    column = pa.array(sequences, pa.list_(pa.int32()))
-    hidden_markov.expected_counts(model, column, start, moves, emissions)
+    column = pa.array([np.array(s, "<i4").tobytes() for s in sequences], pa.binary())
+    likelihood = hidden_markov.expected_counts(model, column, start, moves, emissions)
+    assert math.isclose(likelihood, sum(logs))
     assert np.allclose(hidden_markov.forward_log10(model, column), logs)
-    for got, want in zip((start, moves, emissions), expected):
+    for got, want in zip((start, moves, emissions.T), expected):
         assert np.allclose(got, want)
 
 
@@ -210,7 +211,7 @@ def test_every_iteration_reads_all_training_texts(spark, monkeypatch):
 
     def iterate(model, sequences, vocabulary):
         read.append(sequences.count())
-        return model
+        return model, 1e9 * len(read)
 
     monkeypatch.setattr(hidden_markov, "_iterate", iterate)
     docs = _docs(spark, [(i, "shu mako", "xx") for i in range(40)])
