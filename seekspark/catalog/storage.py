@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from seekspark.catalog.graphs import DOC_SQL, completions
 from seekspark.catalog.registry import Tables, query
+from seekspark.operators.lookup import ObjectTables
 from seekspark.plans import ingest
 from seekspark.plans.engine import graph_stages
 from seekspark.scale import checkpoint_dir
+from seekspark.sources.testsets import read_testset, write_testset
 from seekspark.storage.closure import edges, invalidation_closure
 from seekspark.storage.snapshots import SnapshotStore
 from seekspark.storage.stages import RunStore, stage_listing
@@ -125,3 +127,60 @@ def graph_run_stages(t: Tables) -> DataFrame:
         pass
     graph_stages(store.run("r"), None)
     return stage_listing(t.spark, f"{store.root}/runs").drop("run_id")
+
+
+@query("""SELECT item_id + 1 AS case_index, 'What says passage ' || item_id || '?' AS user_input, sha256(text) AS reference_hash, item_id % 3 <> 0 AS answerable,
+ CASE WHEN item_id % 3 <> 0 THEN 'd:' || item_id ELSE '' END AS evidence, CASE WHEN item_id % 3 <> 0 THEN 'single_hop' ELSE 'unanswerable' END AS question_type FROM benchmark""")
+def testset_round_trip(t: Tables) -> DataFrame:
+    """A test set written from the passages and read again, with the corpus hash checked."""
+    key, answerable = F.col("item_id"), F.col("item_id") % 3 != 0
+    none = F.array().cast("array<string>")
+    evidence = F.when(answerable, F.array(F.concat(F.lit("d:"), key.cast("string")))).otherwise(none)
+    made = t.benchmark.select(
+        (key + 1).alias("case_index"), F.format_string("What says passage %d?", key).alias("user_input"),
+        F.col("text").alias("reference"), F.array("text").alias("reference_contexts"), evidence.alias("evidence_ids"),
+        evidence.alias("context_evidence_ids"), none.alias("document_ids"), F.array("text").alias("evidence_quotes"),
+        F.when(answerable, "single_hop").otherwise("unanswerable").alias("question_type"), answerable.alias("answerable"),
+        F.lit("none").alias("generator_model"), F.lit("1").alias("prompt_version"), F.lit("approved").alias("review_status"),
+    )
+    folder, corpus = _folder(t), "0f" * 32
+    write_testset(made, folder, corpus)
+    cases = read_testset(t.spark, folder, versions=("2",), corpus_hash=corpus).cases
+    return cases.select(
+        "case_index", "user_input", F.sha2("reference", 256).alias("reference_hash"), "answerable",
+        F.array_join("evidence_ids", ",").alias("evidence"), "question_type",
+    )
+
+
+@query("""WITH r AS (SELECT 'rel_' || l_orderkey || '_' || l_linenumber AS relation_id, 'ent_s' || l_suppkey AS source, 'ent_p' || l_partkey AS target, l_orderkey AS chunk_id FROM lineitem),
+ e AS (SELECT 'ent_p' || p_partkey AS entity_id, p_name AS canonical_name FROM part UNION ALL SELECT 'ent_s' || s_suppkey, s_name FROM supplier)
+SELECT 'entity' AS kind, entity_id, canonical_name, (SELECT coalesce(string_agg(relation_id, ',' ORDER BY relation_id), '') FROM r WHERE source = entity_id) AS outgoing,
+ (SELECT coalesce(string_agg(relation_id || '<' || source, ',' ORDER BY relation_id, source), '') FROM r WHERE target = entity_id) AS incoming,
+ (SELECT count(DISTINCT chunk_id) FROM r WHERE target = entity_id OR source = entity_id) AS evidence FROM e WHERE starts_with(entity_id, 'ent_p1')""")
+def inspected_entities(t: Tables) -> DataFrame:
+    """All entities whose id begins with ent_p1, with relations and evidence nested; parts
+    and suppliers are the entities, line items the relations."""
+    def name(prefix: str, column: str):
+        return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+    store = ObjectTables(t.spark, _folder(t))
+    relations = t.lineitem.select(
+        F.concat_ws("_", F.lit("rel"), "l_orderkey", "l_linenumber").alias("relation_id"),
+        name("ent_s", "l_suppkey").alias("source_entity_id"), name("ent_p", "l_partkey").alias("target_entity_id"),
+        F.col("l_orderkey").alias("chunk_id"),
+    )
+    entities = t.part.select(name("ent_p", "p_partkey").alias("entity_id"), F.col("p_name").alias("canonical_name")).unionByName(
+        t.supplier.select(name("ent_s", "s_suppkey").alias("entity_id"), F.col("s_name").alias("canonical_name"))
+    )
+    ends = F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id")
+    store.save("entity", entities, "entity_id")
+    store.save("outgoing", relations.drop("chunk_id"), "source_entity_id")
+    store.save("incoming", relations.drop("chunk_id"), "target_entity_id")
+    store.save("entity_evidence", relations.select(ends, "chunk_id").distinct(), "entity_id")
+    found = store.inspect("ent_p1")
+    return found.select(
+        "kind", "entity_id", "canonical_name",
+        F.array_join(F.transform("outgoing", lambda r: r["relation_id"]), ",").alias("outgoing"),
+        F.array_join(F.transform("incoming", lambda r: F.concat(r["relation_id"], F.lit("<"), r["source_entity_id"])), ",").alias("incoming"),
+        F.size("entity_evidence").cast("long").alias("evidence"),
+    )
