@@ -14,12 +14,13 @@ from seekspark.functions.text import deterministic_keywords
 from seekspark.functions.vectors import Embedder, HashEmbedder
 from seekspark.operators import extraction, metrics, resolution
 from seekspark.operators.graph import graph_summary
-from seekspark.plans import agent, answers, indexing, ingest
+from seekspark.plans import agent, answers, evaluation, indexing, ingest
 from seekspark.plans.options import RetrievalOptions
 from seekspark.plans.retrieval import Reranker, Retrieval, retrieve
 from seekspark.plans.traces import TraceStore
 from seekspark.scale import cut_lineage
 from seekspark.sources.files import Parser, discover
+from seekspark.sources.testsets import read_testset
 from seekspark.storage.closure import DependencyStore, edges, invalidation_closure
 from seekspark.storage.snapshots import SnapshotStore
 from seekspark.storage.stages import RunStore, StageRun, stage_listing
@@ -263,5 +264,13 @@ class Engine:
             whole = scores if whole is None else whole.unionByName(scores)
         return whole
 
+    def evaluate_testset(
+        self, path: str, modes: tuple[str, ...], options: RetrievalOptions | None = None, profile_id: str | None = None
+    ) -> evaluation.Evaluation:
+        """All scores of a stored test set against one pinned profile."""
+        index = self.indexes.load(self.embedder, profile_id)
+        found = read_testset(self.spark, path, corpus_hash=index.metadata["fingerprint"])
+        return evaluation.evaluate_testset(index, found, modes, options, self.reranker)
+
     def agent_run(self, questions: DataFrame, budget: agent.Budget | None = None) -> DataFrame:
         return agent.AgentRunner(self.indexes.load(self.embedder)).run(questions, budget)

@@ -172,7 +172,9 @@ class IndexStore:
         if manifest["config"] != semantic_config(embedder):
             raise ValueError("embedder differs from the stored index; rebuild it")
         folder = f"{self.root}/{wanted}/{manifest['version']}"
-        tables = {name: self.spark.read.parquet(f"{folder}/{name}") for name in self.TABLES}
+        tables = {name: self.spark.read.parquet(f"{folder}/{name}") for name in self.TABLES if name != "links"}
+        # Without a graph there is no partition to take the columns from.
+        tables["links"] = self.spark.read.schema("object_id string, chunk_id string, kind string").parquet(f"{folder}/links")
         lexical = open_index(self.spark, f"{folder}/lexical")
         return Index(embedder=embedder, profile_id=wanted, metadata=manifest, lexical=lexical, **tables)
 
