@@ -6,7 +6,9 @@ longest single text and not by its number of rows.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,23 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 MASK = (1 << 64) - 1
 
 
+def release_memory() -> None:
+    """Give back to the system what earlier tasks of this worker have freed.
+
+    Python workers serve one task after another; without this the allocators keep the
+    peak of every stage that ran before.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it keeps its free memory
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES):
     """Cut record batches so that ``column`` holds about ``limit`` bytes in each."""
+    release_memory()
     for batch in batches:
         if batch.num_rows == 0:
             continue
