@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+import itertools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,87 +101,70 @@ class _Splitter:
 
     def cut(self, text: str, start: int, stop: int, section: tuple) -> int:
         """``stop`` if everything fits, else the longest fitting prefix moved back to a
-        late natural boundary. Probes grow from small, so long texts are not recounted."""
-        low, width = start + 1, 4 * self.max_tokens
-        while start + width < stop and self.fits(text[start : start + width], section):
-            low, width = start + width, 2 * width
-        high = min(start + width, stop)
-        if high == stop and self.fits(text[start:stop], section):
+        late natural boundary."""
+        room = furthest(stop - start, lambda n: self.fits(text[start : start + n], section), 4 * self.max_tokens)
+        if start + room == stop:
             return stop
-        high -= 1
-        while low < high:
-            middle = (low + high + 1) // 2
-            if self.fits(text[start:middle], section):
-                low = middle
-            else:
-                high = middle - 1
-        floor = start + max(1, (low - start) // 2)
-        for mark in BOUNDARIES:
-            at = text.rfind(mark, floor, low)
-            if at >= 0:
-                return at + len(mark)
-        return low
+        end = start + max(room, 1)
+        floor = start + max(1, (end - start) // 2)
+        late = (text.rfind(mark, floor, end) + len(mark) for mark in BOUNDARIES)
+        return next((at for at, mark in zip(late, BOUNDARIES) if at >= len(mark)), end)
 
     def tail(self, text: str, start: int, stop: int) -> int:
         """Start of the longest suffix within the overlap budget, at a word start."""
         if self.overlap <= 0:
             return stop
-        width, high = 4 * self.overlap, stop
-        while stop - width > start and self.count(text[stop - width : stop]) <= self.overlap:
-            high, width = stop - width, 2 * width
-        low = max(stop - width, start)
-        while low < high:
-            middle = (low + high) // 2
-            if self.count(text[middle:stop]) <= self.overlap:
-                high = middle
-            else:
-                low = middle + 1
-        blank = text.find(" ", low, stop)
-        return low if blank < 0 else blank + 1
-
-    @staticmethod
-    def trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
-        body = text[start:stop]
-        return (
-            start + len(body) - len(body.lstrip()),
-            stop - (len(body) - len(body.rstrip())) if body.strip() else start,
-        )
-
-    def pieces(self, text: str, segments):
-        for begin, end, section in segments:
-            if not self.fits("", section) or (
-                section and self.count(" > ".join(section) + "\n") >= self.max_tokens
-            ):
-                raise ValueError("section heading consumes the entire chunk token budget")
-            while begin < end:
-                stop = self.cut(text, begin, end, section)
-                first, last = self.trimmed(text, begin, stop)
-                if first < last:
-                    yield first, last, section
-                begin = stop
+        size = furthest(stop - start, lambda n: self.count(text[stop - n : stop]) <= self.overlap, 4 * self.overlap)
+        head, blank, _ = text[stop - size : stop].partition(" ")
+        return stop - size + (len(head) + 1 if blank else 0)
+
+    def pieces(self, text: str, begin: int, end: int, section: tuple) -> Iterator[tuple[int, int]]:
+        """The parts of one segment that fit alone, without white space at their ends."""
+        cuts = [begin]
+        while cuts[-1] < end:
+            cuts.append(self.cut(text, cuts[-1], end, section))
+        bounds = (trimmed(text, a, b) for a, b in itertools.pairwise(cuts))
+        return (span for span in bounds if span[0] < span[1])
 
     def spans(self, text: str, segments) -> list[tuple[int, int, tuple]]:
-        done, open_span = [], None
-        for first, last, section in self.pieces(text, segments):
-            if open_span is None or open_span[2] != section:
-                if open_span is not None:
-                    done.append(self.final(text, open_span))
-                open_span = (first, last, section)
-            elif self.fits(text[open_span[0] : last], section):
-                open_span = (open_span[0], last, section)
-            else:
-                done.append(self.final(text, open_span))
-                begin = self.tail(text, open_span[0], open_span[1])
-                if not self.overlap or not self.fits(text[begin:last], section):
-                    begin = first
-                open_span = (begin, last, section)
-        if open_span is not None:
-            done.append(self.final(text, open_span))
-        return done
-
-    def final(self, text: str, span: tuple[int, int, tuple]) -> tuple[int, int, tuple]:
-        """The span without white space at its ends; an overlap may begin on some."""
-        return (*self.trimmed(text, span[0], span[1]), span[2])
+        """Chunks of a document: each takes as many pieces of its section as fit, and begins
+        with the end of the one before it where that leaves room for its first piece."""
+        for section in {s[2] for s in segments}:
+            if section and self.count(" > ".join(section) + "\n") >= self.max_tokens or not self.fits("", section):
+                raise ValueError("section heading consumes the entire chunk token budget")
+        every = ((*piece, segment[2]) for segment in segments for piece in self.pieces(text, *segment))
+        chunks = []
+        for section, run in itertools.groupby(every, key=lambda p: p[2]):
+            pieces = [(a, b) for a, b, _ in run]
+            at, start = 0, pieces[0][0]
+            while at < len(pieces):
+                taken = furthest(len(pieces) - at, lambda n: self.fits(text[start : pieces[at + n - 1][1]], section))
+                at += max(taken, 1)
+                stop = pieces[at - 1][1]
+                chunks.append((*trimmed(text, start, stop), section))
+                if at < len(pieces):
+                    overlap = self.tail(text, start, stop)
+                    shared = self.overlap and self.fits(text[overlap : pieces[at][1]], section)
+                    start = overlap if shared else pieces[at][0]
+        return chunks
+
+
+def furthest(limit: int, holds: Callable[[int], bool], first: int = 1) -> int:
+    """Largest n up to ``limit`` for which ``holds``, true up to some n and false beyond;
+    0 if it never is. Probes double from ``first``, so a long text isn't counted whole."""
+    known, probe = 0, min(first, limit)
+    while known < limit and holds(probe):
+        known, probe = probe, min(2 * probe, limit)
+    if known == limit:
+        return limit
+    return known + bisect.bisect_left(range(known + 1, probe), True, key=lambda n: not holds(n))
+
+
+def trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    """The span without white space at its ends; an empty one at ``start`` if nothing is left."""
+    body = text[start:stop]
+    lead = len(body) - len(body.lstrip())
+    return (start, start) if lead == len(body) else (start + lead, start + len(body.rstrip()))
 
 
 def chunk_spans(

@@ -294,8 +294,3 @@ def inspect_entities(entities: DataFrame, relations: DataFrame, evidence: DataFr
         .join(proof, "entity_id", "left")
         .fillna(0, ["outgoing", "incoming", "evidence"])
     )
-
-
-def job_lookup(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of the wanted keys; used by prefix-routed object inspection."""
-    return df.join(small_side(wanted), key, "left_semi")

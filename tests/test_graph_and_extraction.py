@@ -173,6 +173,16 @@ def test_extraction_salvages_valid_records(spark):
     assert (span["span"]["char_start"], span["span"]["char_end"], span["entity_type"]) == (0, len(TEXT), "GRAPH_NODE")
 
 
+def test_quotes_are_limited_in_length(spark):
+    body = "x" * (extraction.MAX_QUOTE + 1)
+    frame = spark.createDataFrame(
+        [("x", "c", body, completion([entity("e1", "Long", body), entity("e2", "Fits", body[1:])]), "stop")],
+        "extraction_id string, chunk_id string, chunk_text string, content string, finish_reason string",
+    )
+    usable = extraction.classify_completions(frame).where("failure is null")
+    assert reasons(extraction.validate_entities(usable)) == ["schema", None]
+
+
 def test_completion_failures(spark):
     fenced = "```json\n" + completion([entity("e1", "Atlas")]) + "\n```"
     classified, e, _ = checked(spark, fenced, "", "[1]", "oops")
