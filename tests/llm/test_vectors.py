@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seekspark.llm.neighbours import build_tree, nearest_neighbours, search_tree
+from seekspark.llm import similarity_join
 from seekspark.llm.similarity_join import linked_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, raw int"
@@ -83,3 +84,22 @@ def test_several_strips_find_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(similarity_join, "STRIP_VECTORS", 100)
     monkeypatch.setattr(similarity_join, "GUEST_VECTORS", 50)
     assert sorted(map(tuple, linked_vectors(frame, "vec_id", "embedding").where("vec_id is not null").collect())) == one
+
+
+def test_links_at_the_limit_are_kept(spark):
+    """Pairs whose cosine is the limit, or a last bit beside it, in few and many dimensions."""
+    rng = np.random.default_rng(11)
+    for width in (2, 8, 64):
+        base = rng.normal(size=(150, width))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        side = rng.normal(size=base.shape)
+        side -= (side * base).sum(1, keepdims=True) * base
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        vectors = np.concatenate([base, 0.95 * base + np.sqrt(1 - 0.95**2) * side])
+        unit = similarity_join._unit(vectors)
+        close = np.array([(unit[i] * unit).sum(1) >= 0.95 for i in range(len(unit))])
+        np.fill_diagonal(close, False)
+        assert 0 < sum(close[i, i + 150] for i in range(150)) < 150
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        found = {r["vec_id"]: r["n_links"] for r in linked_vectors(frame, "vec_id", "embedding").collect()}
+        assert found == dict(enumerate(close.sum(1).tolist())), width
