@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.functions.ids import stable_id
-from seekspark.scale import small_side
 
 STAGES = ("extract", "repair", "glean")
 ACCEPTED_REVIEWS = ("not_required", "approved")
