@@ -77,15 +77,21 @@ def order_min_hashes(shingle: np.ndarray, sketches: int = SKETCHES, size: int =
     return arrays.mix(key)
 
 
+# Up to this many places, a value's bits are built each time it is met.
+FEW_PLACES = 64
+
+
 def banded_common(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Longest common subsequence with matches at most ``band`` places apart.
 
     Bit-parallel: bit ``i`` of a window that slides along the diagonal stands for place
-    ``j - band + i`` of ``a``; bits that leave the window are counted.
+    ``j - band + i`` of ``a``; bits that leave the window are counted. Only places inside
+    the window become bits. A value of many places keeps its bits, which slide along.
     """
-    places: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, value in enumerate(a.tolist()):
-        places[value] = places.get(value, 0) | (1 << i)
+        places.setdefault(value, []).append(i)
+    kept: dict[int, tuple[int, int, int]] = {}  # bits, the place of bit 0, places taken in
     width = 2 * band + 1
     mask = (1 << width) - 1
     window, common = mask, 0
@@ -97,7 +103,16 @@ def banded_common(a: np.ndarray, b: np.ndarray, band: int) -> int:
         found = places.get(value)
         if found is None:
             continue
-        hit = ((found >> (j - band)) if j >= band else (found << (band - j))) & mask
+        low, hit, taken = j - band, 0, 0
+        if len(found) > FEW_PLACES:
+            bits, before, taken = kept.get(value, (0, low, 0))
+            hit = bits >> (low - before)
+        while taken < len(found) and found[taken] <= j + band:
+            if found[taken] >= low:
+                hit |= 1 << (found[taken] - low)
+            taken += 1
+        if len(found) > FEW_PLACES:
+            kept[value] = (hit, low, taken)
         both = window & hit
         window = ((window + both) | (window & ~hit)) & mask
     return common + width - bin(window).count("1")

@@ -137,3 +137,30 @@ def test_pipeline_applies_every_stage(spark, tmp_path):
     assert kept[1] - kept[2] == {400, 401}
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == kept[2]
+
+
+def test_long_pairs_are_aligned_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 40, 40_000)
+    b = np.delete(a, rng.choice(len(a), 1500, replace=False))
+    tracemalloc.start()
+    found = similarity(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(b) / len(a) and peak < 30 << 20
+    same = np.zeros(20_000, np.int64)
+    assert similarity(same, same[:19_000]) == 0.95
+    from seekspark.llm import neardup
+
+    for few in (0, 2, 64):
+        monkeypatch.setattr(neardup, "FEW_PLACES", few)
+        mixed, other = rng.integers(0, 4, 300), rng.integers(0, 4, 280)
+        for band in (0, 3, 40, 300):
+            d = np.zeros((len(mixed) + 1, len(other) + 1), int)
+            for i in range(len(mixed)):
+                for j in range(len(other)):
+                    hit = d[i, j] + 1 if mixed[i] == other[j] and abs(i - j) <= band else 0
+                    d[i + 1, j + 1] = max(d[i, j + 1], d[i + 1, j], hit)
+            assert banded_common(mixed, other, band) == d[-1, -1], (few, band)
