@@ -10,7 +10,7 @@ from seekspark.catalog.registry import Tables, query
 from seekspark.catalog.texts import (
     QUESTION_SQL, bm25_sql, comparison_questions, hash_vectors_sql, questions, ranked_sql, rounded,
 )
-from seekspark.functions.text import deterministic_keywords
+from seekspark.functions.text import KEYWORD_STOPWORDS, deterministic_keywords
 from seekspark.functions.vectors import HashEmbedder, embed_column
 from seekspark.operators import digests
 from seekspark.operators.fusion import (
@@ -346,7 +346,17 @@ def grounded_answers(t: Tables) -> DataFrame:
     )
 
 
-@query()
+# Questions with their first twelve distinct keywords appended.
+KEYED_QUESTION_SQL = f"""SELECT CAST(item_id AS VARCHAR) AS query_id, any_value(text) || chr(10) || 'Keywords: ' || string_agg(word, ', ' ORDER BY pos) AS text FROM (
+ SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS turn FROM (
+  SELECT * FROM (SELECT *, replace(lower(word), 'ß', 'ss') AS fold FROM (
+   SELECT item_id, text, unnest(l) AS word, unnest(range(len(l))) AS pos FROM (
+    SELECT item_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+(?:[-''][\\p{{L}}\\p{{N}}]+)*') AS l FROM benchmark)))
+  WHERE fold NOT IN ({", ".join(f"'{w}'" for w in KEYWORD_STOPWORDS)}) QUALIFY row_number() OVER (PARTITION BY item_id, fold ORDER BY pos) = 1))
+ WHERE turn <= 12 GROUP BY item_id"""
+
+
+@query(f"""WITH {BASE_SQL}, {HYBRID_SQL}, {LOCAL_SQL}, {GLOBAL_SQL}, {PATH_SQL}, {MIX_SQL}, h AS ({ranked_sql('fused', 8)}) SELECT {HIT_COLUMNS} FROM h""".replace(QUESTION_SQL, KEYED_QUESTION_SQL))
 def keyword_expanded_retrieval(t: Tables) -> DataFrame:
     """Mixed retrieval with extracted keywords appended to every question."""
     keyed = questions(t).withColumn("keywords", deterministic_keywords(F.col("text")))
@@ -354,7 +364,14 @@ def keyword_expanded_retrieval(t: Tables) -> DataFrame:
     return rounded(found.hits.select("query_id", "object_id", "rank", "score"), "score")
 
 
-@query()
+@query(f"""WITH {BASE_SQL}, {LOCAL_SQL}, h AS ({ranked_sql('local', 8)}),
+ tk AS (SELECT query_id, h.object_id, rank, len(regexp_extract_all('[citation=' || h.object_id || '; document=' || source || '; section=' || lang || '; pages=n/a]' || chr(10) || d.text, '\\S+')) AS tokens FROM h JOIN documents d ON CAST(doc_id AS VARCHAR) = h.object_id),
+ l AS (SELECT query_id, list({{'o': object_id, 'n': tokens}} ORDER BY rank) AS l FROM tk GROUP BY 1),
+ f AS (SELECT query_id, l[1].o AS first, list_reduce(list_prepend({{'u': 0, 'k': ['']}}, list_transform(l, lambda x: {{'u': x.n, 'k': [x.o]}})), lambda a, x: CASE WHEN a.u + x.u <= 2400 THEN {{'u': a.u + x.u, 'k': list_concat(a.k, x.k)}} ELSE a END) AS r FROM l),
+ c AS (SELECT query_id, unnest(CASE WHEN len(r.k) > 1 THEN r.k[2:] ELSE [first] END) AS chunk FROM f),
+ u AS (SELECT c.query_id, c.chunk, lk.object_id AS relation FROM c JOIN lk ON lk.chunk = c.chunk JOIN lr ON lr.query_id = c.query_id AND lr.object_id = lk.object_id)
+SELECT query_id, chunk AS object_id, 'relation' AS kind, relation AS support_id FROM u
+UNION SELECT u.query_id, u.chunk, 'entity', le.object_id FROM u JOIN ir ON ir.object_id = u.relation JOIN le ON le.query_id = u.query_id AND le.object_id IN (ir.s, ir.t)""")
 def passage_support(t: Tables) -> DataFrame:
     """Entities and relations that stand behind every delivered passage."""
     index = document_index(t)

@@ -17,6 +17,9 @@ COMPOSITE = {
 
 @dataclass(frozen=True)
 class RetrievalOptions:
+    """Settings of one retrieval. Names and defaults are fixed values: they are hashed into
+    stored traces."""
+
     top_k: int = 8
     candidate_multiplier: int = 4
     context_token_budget: int = 2400
