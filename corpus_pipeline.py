@@ -30,7 +30,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on all labels, doesn't predict toxic."""
+    """Documents that the toxicity model, trained on all labels, doesn't predict toxic.
+
+    Decides by row and text alone, so repeated rows share their fate. A null, empty or
+    wordless text has no clause and gets the score of no evidence; a null id, source or
+    language plays no part. Without labels nothing is rejected; no rows give no rows; only the columns
+    of documents go on.
+    """
     from seekspark.llm.toxicity import toxicity_scores, train_toxicity
 
     docs = docs.select(*COLUMNS)
@@ -39,7 +45,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit."""
+    """Documents whose perplexity is within their language's limit.
+
+    Decides by doc_id: rows that share an id go if one of them is rejected, rows without an
+    id stay. Null and empty texts stay; without trusted labels nothing is rejected; no rows give no rows; only the columns of documents
+    go on.
+    """
     from seekspark.llm.quality import quality_scores
 
     docs = docs.select(*COLUMNS)
@@ -48,7 +59,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
+    """The document with the smallest id of each class of near duplicates.
+
+    Decides by doc_id: rows of one id count as one document, by the text of the smallest
+    digest, and stay or go together; rows without an id belong to no class and stay. Texts
+    with equal words are one class; null texts and texts without words all stay; no rows give
+    no rows; only the columns of documents go on.
+    """
     from seekspark.llm.neardup import near_duplicate_classes
 
     docs = docs.select(*COLUMNS)
@@ -57,7 +74,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, placed in sequences."""
+    """Token pieces of all documents, placed in sequences.
+
+    Every row is packed, also repeated ones and those without an id; a null or empty text is
+    the end token alone; no rows give no rows.
+    """
     import public_tokenizers
 
     from seekspark.llm.packing import pack_documents
