@@ -164,3 +164,25 @@ def test_long_pairs_are_aligned_in_bounded_memory(monkeypatch):
                     hit = d[i, j] + 1 if mixed[i] == other[j] and abs(i - j) <= band else 0
                     d[i + 1, j + 1] = max(d[i, j + 1], d[i + 1, j], hit)
             assert banded_common(mixed, other, band) == d[-1, -1], (few, band)
+
+
+def test_stages_define_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns and empty tables in every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [
+        (1, text, "en", "s", 9, "x"), (1, text, "en", "s", 9, "x"), (2, text, None, None, None, "x"), (None, text, "en", "s", 9, "x"),
+        (None, None, None, None, None, "x"), (3, "", "en", "s", 0, "x"), (4, "", "en", "s", 0, "x"), (5, None, "en", "s", 0, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sketches string")
+    expected = {"toxicity": len(rows), "quality": len(rows), "near_duplicates": len(rows) - 1, "packing": len(rows)}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.count() == expected[name], name
+        if name != "packing":
+            assert tuple(found.columns) == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).select("doc_id").collect()
+    assert sorted(r[0] or 0 for r in kept) == [0, 0, 1, 1, 3, 4, 5]
