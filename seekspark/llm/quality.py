@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from seekspark.llm import arrays
 from seekspark.llm.frames import stored
+from seekspark.scale import small_side
 
 ORDER = 4
 SYMBOL_BITS = 16
@@ -31,8 +32,8 @@ SYMBOL_BITS = 16
 # are joined; the inverse shares bound what is sent to every task.
 SYMBOL_SHARE = 2e-5
 LOCAL_SHARE = 1e-6
-# Bound on the labelled texts that the model is fitted on; the limits use all others.
-TRUSTED_DOCUMENTS = 20_000
+# Trusted ids are broadcast up to this many; beyond it they are joined by id.
+BROADCAST_IDS = 1_000_000
 QUANTILE = 0.998
 # The limit is the quantile times this factor.
 SLACK = 1.25
@@ -127,24 +128,50 @@ class QualityModel:
         return key[order], rows["lp"].to_numpy(np.float32)[order]
 
 
-def train_quality_model(trusted: DataFrame) -> QualityModel:
-    """Fit on ``trusted(text)``; nulls count as empty texts, no rows give a flat model."""
-    trusted = trusted.select("text")
+def _alphabet(trusted: DataFrame) -> tuple[np.ndarray, int]:
+    """The symbols above their share, in order, and the number of all symbols."""
 
     def symbols(data, at):
         return _symbols(data, at)[0].astype(np.uint64)
 
-    counts = trusted.mapInArrow(_summed(symbols), "key long, n long")
+    counts = trusted.select("text").mapInArrow(_summed(symbols), "key long, n long")
     counts = stored(counts.groupBy("key").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") >= max(1.0, total * SYMBOL_SHARE)).select("key").collect()
-    alphabet = np.sort(np.array([r[0] for r in rows], np.int64)).astype(np.uint32)
+    return np.sort(np.array([r[0] for r in rows], np.int64)).astype(np.uint32), total
+
+
+def _gram_table(trusted: DataFrame, alphabet: np.ndarray) -> DataFrame:
+    """``key, n`` of the n-grams of order ORDER."""
 
     def keys(data, at):
         return _encode(data, at, alphabet)[0]
 
-    table = trusted.mapInArrow(_summed(keys), "key long, n long")
-    tables = {ORDER: stored(table.groupBy("key").agg(F.sum("n").alias("n")))}
+    table = trusted.select("text").mapInArrow(_summed(keys), "key long, n long")
+    return stored(table.groupBy("key").agg(F.sum("n").alias("n")))
+
+
+def train_quality_model(trusted: DataFrame) -> QualityModel:
+    """Fit on ``trusted(text)``; nulls count as empty texts, no rows give a flat model."""
+    alphabet, total = _alphabet(trusted)
+    return _fitted(alphabet, _gram_table(trusted, alphabet), total)
+
+
+def cross_fitted(trusted: DataFrame) -> tuple[QualityModel, QualityModel, QualityModel]:
+    """Models of all of ``trusted(text, upper)``, of its lower and of its upper half.
+
+    Every text is counted once; the whole model's counts are the sums of the halves'.
+    """
+    alphabet, total = _alphabet(trusted)
+    halves = [_gram_table(trusted.where(F.col("upper") == upper), alphabet) for upper in (False, True)]
+    whole = stored(halves[0].unionByName(halves[1]).groupBy("key").agg(F.sum("n").alias("n")))
+    lower, upper = (_fitted(alphabet, half, half.agg(F.sum("n")).first()[0] or 0) for half in halves)
+    return _fitted(alphabet, whole, total), lower, upper
+
+
+def _fitted(alphabet: np.ndarray, table: DataFrame, total: int) -> QualityModel:
+    """The model of a stored table of n-grams of order ORDER."""
+    tables = {ORDER: table}
     for order in range(ORDER - 1, 0, -1):
         tables[order] = (
             tables[order + 1].groupBy(_suffix(order).alias("key")).agg(F.count("*").alias("n"))
@@ -258,12 +285,14 @@ def perplexities(docs: DataFrame, model: QualityModel, *keep: str) -> DataFrame:
     )
 
 
-def _limits_of_share(counts: list, most: int) -> list[tuple]:
-    """Per language (lang, below): trusted ids whose hash is less than ``below`` are fitted.
+def _limits_of_share(counts: list, most: int | None) -> list[tuple]:
+    """Per language (lang, below): trusted ids whose hash is less than ``below`` are the lower half.
 
-    ``counts`` has lang, n and half, the middle hash. At least half of each language is
-    left out of the fit; the rest of ``most`` is shared so that only large languages are cut.
+    ``counts`` has lang, n and half, the middle hash. With ``most`` only that many are
+    taken, shared so that only large languages are cut.
     """
+    if most is None:
+        return [(r["lang"], r["half"]) for r in counts]
     left, cap = most, 0.0
     order = sorted(counts, key=lambda r: r["n"])
     for i, r in enumerate(order):
@@ -275,11 +304,12 @@ def _limits_of_share(counts: list, most: int) -> list[tuple]:
     return [(r["lang"], min(r["half"], int(share(r) * 2**48) - 2**47 if share(r) < 1 else r["half"])) for r in counts]
 
 
-def fitted_share(docs: DataFrame, good: DataFrame, most: int = TRUSTED_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, lang) of at most about ``most`` documents to fit on, and lang, below.
+def fitted_share(docs: DataFrame, good: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lang) of the lower half of the trusted documents, and lang, below.
 
-    Chosen within each language by a hash of the id; a language's documents with a hash of
-    ``below`` or more are held out. Of one or two documents none is fitted.
+    Chosen within each language by a hash of the id; documents with a hash of ``below`` or
+    more are the upper half. Of one or two documents none is in the lower half. ``most``
+    bounds the lower half.
     """
     spark = docs.sparkSession
     pairs = stored(docs.select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct().withColumn("hash", _fit_hash()))
@@ -297,27 +327,27 @@ def _fit_hash() -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, excess, limit, kept of every row of ``docs``.
 
-    The model is fitted on at most about TRUSTED_DOCUMENTS documents that ``labels``
-    (doc_id, quality) calls good, at most half of each language. Medians and quantiles
-    are those of all other trusted rows, by language; the fitted ones have too low a
-    perplexity. A language with fewer of them than the quantile needs, 1 / (1 - quantile),
-    has its own median and the limit of all; one without any, null included, has both
-    from all. A median of few symbols varies itself, which the excess allows for. Without
-    a trusted text to fit all rows are kept. Null and empty texts have the perplexity of
-    an end at once and are kept, as they hold nothing that is bad. Repeated rows get equal
-    results; other columns of ``docs`` are not read.
+    The model is fitted on all documents that ``labels`` (doc_id, quality) calls good.
+    Medians and quantiles are those of all of them too, by language: each language's are
+    halved, and a half is scored by the model of the other, as a text has too low a
+    perplexity where it was fitted. A language with fewer of them than the quantile needs,
+    1 / (1 - quantile), has its own median and the limit of all; one without any, null
+    included, has both from all. A median of few symbols varies itself, which the excess
+    allows for. Unless both halves have a text all rows are kept. Null and empty texts have
+    the perplexity of an end at once and are kept, as they hold nothing that is bad.
+    Repeated rows get equal results; other columns of ``docs`` are not read.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     docs = docs.select("doc_id", "lang", "text")
-    chosen, below = fitted_share(docs, good)
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("fit_id"), F.col("lang").alias("fit_lang")))
-    trusted = docs.join(chosen, (F.col("doc_id") == F.col("fit_id")) & F.col("lang").eqNullSafe(F.col("fit_lang")), "left_semi")
-    model = train_quality_model(trusted)
-    scored = stored(perplexities(docs, model, "doc_id", "lang"))
-    below = F.broadcast(below.withColumnRenamed("lang", "fit_lang"))
-    own = scored.where("n_symbols > 1").join(good, "doc_id", "left_semi")
-    own = own.join(below, F.col("lang").eqNullSafe(F.col("fit_lang"))).where(_fit_hash() >= F.col("below"))
-    own = stored(own.select("lang", "n_symbols", "perplexity"))
+    below = F.broadcast(fitted_share(docs, good)[1].withColumnRenamed("lang", "fit_lang"))  # one row per language
+    marked = docs.join(small_side(good.withColumn("good", F.lit(True)), BROADCAST_IDS), "doc_id", "left")
+    marked = marked.join(below, F.col("lang").eqNullSafe(F.col("fit_lang")), "left")
+    marked = marked.select("doc_id", "lang", "text", F.when(F.col("good"), _fit_hash() >= F.col("below")).alias("upper"))
+    model, lower, upper = cross_fitted(marked.where("upper is not null"))
+    parts = [("upper is null", model), ("upper", lower), ("not upper", upper)]
+    scores = [perplexities(marked.where(rows), fit, "doc_id", "lang", "upper") for rows, fit in parts]
+    scored = stored(functools.reduce(DataFrame.unionByName, scores))
+    own = scored.where("n_symbols > 1 and upper is not null").select("lang", "n_symbols", "perplexity")
 
     def by_language(rows: DataFrame, source: DataFrame, **values: Column) -> DataFrame:
         """Attach each of ``values`` over the language's rows of ``source``, else over all."""
@@ -336,6 +366,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     least = 1 / max(1 - quantile, 1e-9)
     enough = own.where("lang is not null").groupBy("lang").agg(F.when(F.count("*") >= least, limit).alias("own_limit"))
     held = scored.join(F.broadcast(enough), "lang", "left").crossJoin(F.broadcast(own.agg(limit.alias("every_limit"))))
-    held = held.withColumn("limit", F.coalesce("own_limit", "every_limit") if model.total else F.lit(None).cast("double"))
+    held = held.withColumn("limit", F.coalesce("own_limit", "every_limit") if lower.total and upper.total else F.lit(None).cast("double"))
     kept = F.expr("n_symbols = 1 or limit is null or excess <= limit")
     return held.select("doc_id", "lang", "n_symbols", "perplexity", "excess", "limit").withColumn("kept", kept)
