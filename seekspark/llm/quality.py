@@ -2,8 +2,8 @@
 
 Counts, continuation counts, discounts and back-off weights are aggregations and joins of
 n-gram tables. A text's n-grams are first summed within the text. Those frequent in the
-trusted text (a share of all its n-grams that bounds their number) are scored in place;
-the others are joined with the count tables, sharded by n-gram, and summed per document.
+trusted text (at most a fixed number) are scored in place; the others are joined with
+the count tables, sharded by n-gram, and summed per document.
 A document is kept if its perplexity is within its language's limit. A short text's
 perplexity varies more, as one over the root of its length; so what is compared with the
 quantile of trusted texts of the language is the log distance from their median
@@ -28,8 +28,8 @@ from seekspark.scale import small_side
 
 ORDER = 4
 SYMBOL_BITS = 16
-# Symbols and n-grams below these shares of the trusted text are the unknown symbol, or
-# are joined; the inverse shares bound what is sent to every task.
+# Symbols below this share of the trusted text are the unknown symbol. N-grams below theirs
+# are joined, unless there are few. The inverse shares bound what is sent to every task.
 SYMBOL_SHARE = 2e-5
 LOCAL_SHARE = 1e-6
 # Trusted ids are broadcast up to this many; beyond it they are joined by id.
@@ -118,11 +118,17 @@ class QualityModel:
 
     @functools.cached_property
     def local(self) -> tuple[np.ndarray, np.ndarray]:
-        """Frequent n-grams and their log probabilities; at most 1 / LOCAL_SHARE rows."""
-        rows = (
-            self.grams[ORDER].where(F.col("n") >= max(1.0, self.total * LOCAL_SHARE))
-            .select("key", F.col("lp").cast("float").alias("lp")).toPandas()
-        )
+        """The most frequent n-grams and their log probabilities; at most 1 / LOCAL_SHARE rows."""
+        least, table = max(1.0, self.total * LOCAL_SHARE), self.grams[ORDER]
+        # Counts below the share, at most ``least`` different ones, and null for all above it.
+        sizes = dict(table.groupBy(F.when(F.col("n") < least, F.col("n")).alias("n")).count().collect())
+        room = 1 / LOCAL_SHARE - sizes.pop(None, 0)
+        for n in sorted(sizes, reverse=True):
+            room -= sizes[n]
+            if room < 0:
+                break
+            least = n
+        rows = table.where(F.col("n") >= least).select("key", F.col("lp").cast("float").alias("lp")).toPandas()
         key = rows["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(key)
         return key[order], rows["lp"].to_numpy(np.float32)[order]
@@ -170,10 +176,14 @@ def cross_fitted(trusted: DataFrame) -> tuple[QualityModel, QualityModel, Qualit
 
 
 def _fitted(alphabet: np.ndarray, table: DataFrame, total: int) -> QualityModel:
-    """The model of a stored table of n-grams of order ORDER."""
+    """The model of a stored table of n-grams of order ORDER.
+
+    Each step is stored, so that no plan repeats the ones before it: the driver plans and
+    compiles small joins only.
+    """
     tables = {ORDER: table}
     for order in range(ORDER - 1, 0, -1):
-        tables[order] = (
+        tables[order] = stored(
             tables[order + 1].groupBy(_suffix(order).alias("key")).agg(F.count("*").alias("n"))
         )
     symbols_known = len(alphabet) + FIRST_SYMBOL
@@ -184,9 +194,9 @@ def _fitted(alphabet: np.ndarray, table: DataFrame, total: int) -> QualityModel:
         discounts = _discounts([cc[f"n{i}"] for i in range(1, 5)])
         taken = F.when(F.col("n") == 1, discounts[0]).when(F.col("n") == 2, discounts[1]).otherwise(discounts[2])
         seen = tables[order].select("key", "n", _context().alias("context"), taken.alias("taken"))
-        contexts = seen.groupBy("context").agg(
+        contexts = stored(seen.groupBy("context").agg(
             F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("rest")
-        )
+        ))
         joined = seen.join(contexts, "context").withColumn("suffix", _suffix(order - 1) if order > 1 else F.lit(0))
         if lower is None:
             below = joined.withColumn("p_low", F.lit(1.0 / symbols_known))
@@ -194,7 +204,7 @@ def _fitted(alphabet: np.ndarray, table: DataFrame, total: int) -> QualityModel:
             below = joined.join(lower.select(F.col("key").alias("suffix"), F.exp("lp").alias("p_low")), "suffix")
         p = (F.col("n") - F.col("taken")) / F.col("total") + F.col("rest") * F.col("p_low")
         lower = grams[order] = stored(below.select("key", "n", F.log(p).alias("lp")))
-        backoffs[order] = stored(contexts.select(F.col("context").alias("key"), F.log("rest").alias("lb")))
+        backoffs[order] = contexts.select(F.col("context").alias("key"), F.log("rest").alias("lb"))
     return QualityModel(alphabet, grams, backoffs, total)
 
 
@@ -345,8 +355,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTIL
     marked = marked.select("doc_id", "lang", "text", F.when(F.col("good"), _fit_hash() >= F.col("below")).alias("upper"))
     model, lower, upper = cross_fitted(marked.where("upper is not null"))
     parts = [("upper is null", model), ("upper", lower), ("not upper", upper)]
-    scores = [perplexities(marked.where(rows), fit, "doc_id", "lang", "upper") for rows, fit in parts]
-    scored = stored(functools.reduce(DataFrame.unionByName, scores))
+    # One after the other: the driver plans the joins of one model at a time.
+    scores = [stored(perplexities(marked.where(rows), fit, "doc_id", "lang", "upper")) for rows, fit in parts]
+    scored = functools.reduce(DataFrame.unionByName, scores)
     own = scored.where("n_symbols > 1 and upper is not null").select("lang", "n_symbols", "perplexity")
 
     def by_language(rows: DataFrame, source: DataFrame, **values: Column) -> DataFrame:
