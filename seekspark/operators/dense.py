@@ -16,6 +16,8 @@ from seekspark.operators.fusion import top_k
 # Queries are shipped to every executor only below this size (values, not rows).
 MAX_QUERY_VALUES = 8_000_000
 BLOCK_ROWS = 20_000
+# Scores of one matrix product inside a task.
+MAX_PRODUCT_VALUES = 2_000_000
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -33,6 +35,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+def _products(queries: np.ndarray, block: np.ndarray, limit: int = MAX_PRODUCT_VALUES) -> Iterator[np.ndarray]:
+    """The scores of each query, by matrix products of at most ``limit`` values."""
+    step = max(limit // max(len(block), 1), 1)
+    for begin in range(0, len(queries), step):
+        yield from queries[begin : begin + step] @ block.T
+
+
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     if len(flat) != len(column) * dimensions:
@@ -96,9 +105,8 @@ def _local_candidates(
         for batch in batches:
             ids = batch.column("object_id").to_numpy(zero_copy_only=False)
             block = _unit_rows(_matrix(batch.column("embedding"), dimensions))
-            similarity = query_matrix @ block.T
-            for q in range(len(query_ids)):
-                known_ids, known = ids, similarity[q]
+            for q, known in enumerate(_products(query_matrix, block)):
+                known_ids = ids
                 if best[q] is not None:
                     known_ids = np.concatenate([best[q][0], known_ids])
                     known = np.concatenate([best[q][1], known])
