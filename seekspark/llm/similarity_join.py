@@ -7,9 +7,10 @@ at least, so range joins of the blocks find every pair, and each pair belongs to
 block whose budget it keeps.
 
 The range join of a block deals vectors into strips of its first coordinate; a vector is
-also sent, as a guest, to higher strips that start within the budget's radius. Strips
-compare block distances, verify whole vectors exactly and return, per vector, its number
-of links and one link to its local component; pairs are never emitted.
+also sent, as a guest, to higher strips that start within the budget's radius. Inside a
+strip, tiles that are small in all coordinates of the block are compared where their boxes
+are near enough. Strips verify whole vectors exactly and return, per vector, its number of
+links and one link to its local component; pairs are never emitted.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ STRIP_VECTORS = 8192
 GUEST_VECTORS = 32768
 TILE = 256
 ROUNDING = 1e-9
+# Far above the error of a squared distance of unit vectors in single precision, which only
+# picks pairs for the exact test.
+SINGLE_ROUNDING = 1e-5
 SEED = 20_240
 
 
@@ -69,43 +73,76 @@ def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
+def _tiles(points: np.ndarray, members: np.ndarray) -> list[np.ndarray]:
+    """``members`` in tiles, halved at the median of the widest coordinate until small enough."""
+    waiting, tiles = [members] if len(members) else [], []
+    while waiting:
+        part = waiting.pop()
+        if len(part) <= TILE:
+            tiles.append(part)
+            continue
+        values = points[part]
+        along = values[:, np.argmax(np.ptp(values, axis=0))]
+        order = np.argpartition(along, len(part) // 2)
+        waiting += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+    return tiles
+
+
+def _distance_factors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices whose product is the squared distance of each two points, in single precision."""
+    square, one = (points**2).sum(1, keepdims=True), np.ones((len(points), 1))
+    return (
+        np.hstack([-2 * points, square, one]).astype(np.float32),
+        np.hstack([points, one, square]).astype(np.float32),
+    )
+
+
 def strip_links(
     vectors: np.ndarray, ids: np.ndarray, copies: np.ndarray, home: np.ndarray,
     block: int, cosine: float, pair_homes: bool,
 ) -> pd.DataFrame:
     """id, links, root of the members of one strip that link with another.
 
-    Pairs have a home member and a member that isn't above it in the block's first
-    coordinate; ``pair_homes`` says whether two home members are compared here.
+    Pairs have a home member and a guest or, if ``pair_homes`` says so, two home members.
+    Members are cut into tiles that are small in all coordinates of the block, and only
+    tiles whose boxes are within the budget of each other are compared.
     """
     unit = _unit(vectors)
     turned = unit @ rotation(vectors.shape[1])
     parts, budgets = _blocks(vectors.shape[1]), _budgets(vectors.shape[1], cosine)
-    order = np.lexsort((ids, turned[:, parts[block].start]))
-    unit, turned, ids, copies, home = unit[order], turned[order], ids[order], copies[order], home[order]
+    tiles = _tiles(turned[:, parts[block]], np.flatnonzero(~home))
+    guests = len(tiles)
+    tiles += _tiles(turned[:, parts[block]], np.flatnonzero(home))
+    order = np.concatenate(tiles) if tiles else np.zeros(0, np.int64)
+    unit, turned, ids, copies = unit[order], turned[order], ids[order], copies[order]
     own = np.ascontiguousarray(turned[:, parts[block]])
-    first = np.ascontiguousarray(turned[:, parts[0]])
-    along, budget = own[:, 0], budgets[block]
-    square, square_first = (own**2).sum(1), (first**2).sum(1)
+    begins = np.cumsum([0, *map(len, tiles)])
+    low = np.array([own[a:b].min(0) for a, b in zip(begins[:-1], begins[1:])])
+    high = np.array([own[a:b].max(0) for a, b in zip(begins[:-1], begins[1:])])
+    left, right = _distance_factors(own)
+    left_first, right_first = _distance_factors(turned[:, parts[0]])
+    budget = budgets[block]
     links = np.zeros(len(ids), np.int64)
     parent = np.arange(len(ids))
-    homes = np.flatnonzero(home)
-    for begin in range(0, len(homes), TILE):
-        tile = homes[begin : begin + TILE]
-        low = np.searchsorted(along, along[tile[0]] - np.sqrt(budget + 3 * ROUNDING))
-        high = tile[-1]
-        if low >= high:
+    for t in range(guests, len(tiles)):
+        tile = np.arange(begins[t], begins[t + 1])
+        # Tiles, then their members, that are nearer than the budget to the box of this tile.
+        most = t + 1 if pair_homes else guests
+        gap = np.maximum(np.maximum(low[t] - high[:most], low[:most] - high[t]), 0)
+        close = np.flatnonzero((gap**2).sum(1) <= budget + 3 * ROUNDING)
+        if not len(close):
             continue
-        others = np.arange(low, high)
-        if not pair_homes:
-            others = others[~home[low:high]]
-            if not len(others):
-                continue
-        near = square[tile][:, None] + square[others][None, :] - 2 * own[tile] @ own[others].T <= budget + 2 * ROUNDING
-        near &= others[None, :] < tile[:, None]
+        others = np.concatenate([np.arange(begins[c], begins[c + 1]) for c in close])
+        gap = np.maximum(np.maximum(low[t] - own[others], own[others] - high[t]), 0)
+        others = others[(gap**2).sum(1) <= budget + 3 * ROUNDING]
+        if not len(others):
+            continue
+        near = left[tile] @ right[others].T <= budget + SINGLE_ROUNDING
+        if others[-1] >= tile[0]:
+            near &= others[None, :] < tile[:, None]
         if block and near.sum() > 4 * len(tile):
             # Pairs that surely belong to the first block needn't be looked at one by one.
-            near &= square_first[tile][:, None] + square_first[others][None, :] - 2 * first[tile] @ first[others].T > budgets[0]
+            near &= left_first[tile] @ right_first[others].T > budgets[0] - SINGLE_ROUNDING
         i, j = np.nonzero(near)
         i, j = tile[i], others[j]
         for a in range(0, len(i), 1 << 16):

@@ -103,3 +103,35 @@ def test_links_at_the_limit_are_kept(spark):
         frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
         found = {r["vec_id"]: r["n_links"] for r in linked_vectors(frame, "vec_id", "embedding").collect()}
         assert found == dict(enumerate(close.sum(1).tolist())), width
+
+
+def test_tiles_are_small_and_strips_compare_near_ones_only(monkeypatch):
+    from seekspark.llm import similarity_join
+
+    made = np.random.default_rng(5)
+    points = made.normal(size=(1000, 8))
+    members = np.arange(0, 1000, 3)
+    monkeypatch.setattr(similarity_join, "TILE", 20)
+    tiles = similarity_join._tiles(points, members)
+    assert sorted(np.concatenate(tiles)) == members.tolist() and max(map(len, tiles)) <= 20
+    assert similarity_join._tiles(points, members[:0]) == []
+
+    base = made.normal(size=(60, 16))
+    vectors = np.concatenate([base + 0.08 * made.normal(size=base.shape) for _ in range(8)])
+    turned = similarity_join._unit(vectors) @ similarity_join.rotation(16)
+    ids, copies = made.permutation(len(vectors)), made.integers(1, 4, len(vectors))
+    unit = similarity_join._unit(vectors)
+    linked = unit @ unit.T >= 0.95
+    budgets = similarity_join._budgets(16, 0.95)
+    parts = similarity_join._blocks(16)
+    gaps = [((turned[:, None, p] - turned[None, :, p]) ** 2).sum(2) <= b + similarity_join.ROUNDING for p, b in zip(parts, budgets)]
+    home = turned[:, 0] > np.median(turned[:, 0])
+    for pair_homes in (True, False):
+        for block, mine in ((0, gaps[0]), (1, gaps[1] & ~gaps[0])):
+            pairs = linked & mine & (home[:, None] | home[None, :]) & ~np.eye(len(ids), dtype=bool)
+            if not pair_homes:
+                pairs &= home[:, None] != home[None, :]
+            found = similarity_join.strip_links(vectors, ids, copies, home, block, 0.95, pair_homes).set_index("id")["links"]
+            expected = (pairs * copies[None, :]).sum(1)
+            assert found.to_dict() == {int(i): int(n) for i, n in zip(ids, expected) if n}
+    assert linked.sum() > 2 * len(ids)
