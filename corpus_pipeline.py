@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seekspark.llm.frames import stored
 from seekspark.scale import small_side
+from seekspark.session import ARROW_BATCH
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -19,6 +20,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 1_000_000
 
 
+def _read(spark: SparkSession, docs: DataFrame, *columns: str) -> DataFrame:
+    """Columns of documents; Python workers get small batches, however long the texts are."""
+    spark.conf.set(*ARROW_BATCH)
+    return docs.select(*columns)
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is among ``ids``."""
     ids = stored(ids.where("doc_id is not null").distinct())
@@ -39,7 +46,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from seekspark.llm.toxicity import toxicity_scores, train_toxicity
 
-    docs = docs.select(*COLUMNS)
+    docs = _read(spark, docs, *COLUMNS)
     model = train_toxicity(docs, _labels(spark, sf_dir), F.lit(True))
     return toxicity_scores(docs, model, *COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -53,7 +60,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from seekspark.llm.quality import quality_scores
 
-    docs = docs.select(*COLUMNS)
+    docs = _read(spark, docs, *COLUMNS)
     rejected = quality_scores(docs, _labels(spark, sf_dir)).where("not kept").select("doc_id")
     return _without(docs, rejected)
 
@@ -68,7 +75,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     from seekspark.llm.neardup import near_duplicate_classes
 
-    docs = docs.select(*COLUMNS)
+    docs = _read(spark, docs, *COLUMNS)
     dropped = near_duplicate_classes(docs).where("not kept").select("doc_id")
     return _without(docs, dropped)
 
@@ -83,7 +90,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from seekspark.llm.packing import pack_documents
 
-    return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(_read(spark, docs, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

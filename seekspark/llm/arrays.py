@@ -20,6 +20,8 @@ SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 MASK = (1 << 64) - 1
+# Code points looked up at once; divides the number of surrogates and where they begin.
+CLASS_BLOCK = 1 << 11
 
 
 def release_memory() -> None:
@@ -165,13 +167,17 @@ def words(data: np.ndarray, at: np.ndarray):
 @functools.cache
 def class_table() -> np.ndarray:
     """Per code point: 1 letter, 2 number, 3 white space, 0 anything else."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.zeros(0x110000, np.uint8)
-    for code, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\p{White_Space}+")):
-        for found in regex.finditer(pattern, every):
-            a, b = found.span()
-            table[ord(every[a]) : ord(every[b - 1]) + 1] = code
-    table[0xD800:0xE000] = 0
+    kinds = [(1, regex.compile(r"\p{L}+")), (2, regex.compile(r"\p{N}+")), (3, regex.compile(r"\p{White_Space}+"))]
+    # Block by block, because a string of all code points takes a worker 100 MB for a moment.
+    for begin in range(0, len(table), CLASS_BLOCK):
+        if 0xD800 <= begin < 0xE000:
+            continue
+        every = "".join(map(chr, range(begin, begin + CLASS_BLOCK)))
+        for code, pattern in kinds:
+            for found in pattern.finditer(every):
+                a, b = found.span()
+                table[begin + a : begin + b] = code
     return table
 
 

@@ -156,3 +156,35 @@ def test_grouped_slices_and_small_caches_give_the_same_ids(spark, library, monke
         assert (r["n_ids"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()))
         assert r["round_trip"] == (text == text.replace("▁", " "))
     assert sentencepieces.round_trips(docs.limit(0), PIECE_BPE, "doc_id").count() == 0
+
+
+def test_character_classes_need_little_memory():
+    import tracemalloc
+
+    import regex
+
+    from seekspark.llm import arrays
+
+    tracemalloc.start()
+    table = arrays.class_table.__wrapped__()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8_000_000
+    for code in (0x41, 0x39, 0x20, 0x2E, 0x7FF, 0x800, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0x4E00, 0xFFFF, 0x10000, 0x1F600, 0x2F800, 0x10FFFF):
+        kinds = [k for k, p in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\p{White_Space}")) if regex.fullmatch(p, chr(code))]
+        assert table[code] == (kinds[0] if kinds and not 0xD800 <= code < 0xE000 else 0)
+
+
+def test_the_pipeline_packs_small_batches(spark):
+    import corpus_pipeline
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, 1 << 26)
+        docs = spark.createDataFrame([(1, "one 'two'"), (2, None), (3, "")], "doc_id long, text string")
+        pieces = corpus_pipeline.packing(spark, docs, "").collect()
+        assert sorted((p["doc_id"], p["length"]) for p in pieces)[1:] == [(2, 1), (3, 1)]
+        assert int(spark.conf.get(setting)) <= 1 << 22
+    finally:
+        spark.conf.set(setting, before)
