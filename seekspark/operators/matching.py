@@ -9,13 +9,17 @@ characters, and the contained text looks up one. Pairs that meet are compared in
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekspark.functions.text import MIN_OVERLAP_CHARS, exact_casefold, nfkc, squeeze
+from seekspark.functions.text import MIN_OVERLAP_CHARS
 from seekspark.scale import cut_lineage
 
 GRAM_CHARS = 16
@@ -23,10 +27,29 @@ WINDOW = MIN_OVERLAP_CHARS - GRAM_CHARS + 1
 # What a key stands for: equal texts, a reference inside a segment, and the reverse.
 EQUAL, REFERENCE_INSIDE, SEGMENT_INSIDE = 1, 2, 3
 KEYS = T.ArrayType(T.LongType())
+# White space of Unicode, as Java's (?U)\s; Python's \s has four separators more.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _normal_text(value: str | None) -> str | None:
+    """Composed form, white space squeezed, case folded."""
+    if value is None:
+        return None
+    return BLANKS.sub(" ", unicodedata.normalize("NFKC", value)).strip(" ").casefold()
+
+
+# Nondeterministic in name only: a filter on the result, or one that Spark infers from an
+# explode of it, would otherwise run each function a second time, in another Python worker.
+@F.pandas_udf(T.StringType())
+def _normal_texts(values: pd.Series) -> pd.Series:
+    return values.map(_normal_text)
+
+
+_normal_texts = _normal_texts.asNondeterministic()
 
 
 def normal_form(value: Column) -> Column:
-    return exact_casefold(squeeze(nfkc(value)))
+    return _normal_texts(value)
 
 
 def _mixed(value: np.ndarray, tag: int) -> np.ndarray:
@@ -56,7 +79,8 @@ def _windows(text: str) -> np.ndarray:
 
 
 def _whole(text: str) -> np.ndarray:
-    return _mixed(np.bitwise_xor.reduce([_mixed(v[:1], s) ^ _mixed(v[-1:], s + 1) for s, v in _power_grams(text)]), EQUAL)
+    digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()
+    return _mixed(np.frombuffer(digest, np.uint64), EQUAL)
 
 
 def _segment_keys(text: str) -> np.ndarray:
@@ -85,11 +109,17 @@ def segment_keys(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _segment_keys(t).view(np.int64))
 
 
+segment_keys = segment_keys.asNondeterministic()
+
+
 @F.pandas_udf(KEYS)
 def reference_keys(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _reference_keys(t).view(np.int64))
 
 
+reference_keys = reference_keys.asNondeterministic()
+
+
 def _normal(rows: DataFrame, name: str) -> DataFrame:
     return cut_lineage(
         rows.select(name, normal_form(F.col("text")).alias("normal")).where(F.length("normal") > 0)
