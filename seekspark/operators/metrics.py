@@ -7,14 +7,15 @@ import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekspark.functions.vectors import cosine
 from seekspark.operators.quantiles import nearest_ranks
 from seekspark.operators.setjoin import most_similar
-from seekspark.scale import small_side
+from seekspark.scale import cut_lineage, small_side
 
 # --- fixed values ------------------------------------------------------------
 TIE = 1e-12
@@ -22,6 +23,9 @@ BOOTSTRAP_RESAMPLES = 20_000
 BOOTSTRAP_SEED = 20_260_721
 CONFIDENCE = 0.95
 SEMANTIC_THRESHOLD = 0.75
+# Vectors of one side in a block of cosines, about, and the values of one matrix product.
+COSINE_ROWS = 2048
+PRODUCT_VALUES = 2_000_000
 # -----------------------------------------------------------------------------
 
 METRICS = ("hit_at_k", "recall_at_k", "mrr", "ndcg_at_k")
@@ -161,6 +165,40 @@ def latency_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return joined.select(*keys, "latency_mean", *shares)
 
 
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that aren't null, and the rows where they are; null values become NaN."""
+    at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    size = np.unique(column.value_lengths().drop_null().to_numpy())
+    if len(size) > 1:
+        raise ValueError("embedding dimensions differ")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(at), int(size[0]) if len(size) else 0), at
+
+
+def best_cosines(references: pa.Array, candidates: pa.Array) -> np.ndarray:
+    """The best cosine of each reference, -1 to 1; what has no cosine counts as 1.
+
+    Zero and empty vectors have cosine 0; null vectors and those that hold null or
+    non-finite values have none.
+    """
+    (a, at), (b, _) = _rows(references), _rows(candidates)
+    best = np.ones(len(references))
+    if not len(a):
+        return best
+    if a.shape[1] != b.shape[1]:
+        raise ValueError("embedding dimensions differ")
+    b_norm = np.linalg.norm(b, axis=1)
+    step = max(PRODUCT_VALUES // len(b), 1)
+    with np.errstate(all="ignore"):
+        for begin in range(0, len(a), step):
+            part = a[begin : begin + step]
+            scale = np.linalg.norm(part, axis=1)[:, None] * b_norm
+            value = np.where(scale == 0.0, 0.0, part @ b.T / scale)
+            value = np.clip(np.where(np.isnan(value), 1.0, value), -1.0, 1.0)
+            best[at[begin : begin + step]] = value.max(axis=1)
+    return best
+
+
 def semantic_scores(
     references: DataFrame, retrieved: DataFrame, threshold: float = SEMANTIC_THRESHOLD,
     keys: Sequence[str] = ("case_id",),
@@ -168,18 +206,40 @@ def semantic_scores(
     """Best cosine per reference text against the retrieved texts of its own case.
 
     ``references(case_id, reference_id, embedding)`` and ``retrieved(case_id,
-    embedding)``: an equi-join on the case with at most k rows on the right.
+    embedding)``. All pairs of a case are compared, in matrix products of blocks of both
+    sides; a block returns one value per reference, so no pair of rows crosses a shuffle.
     """
     if not math.isfinite(threshold) or not -1.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between -1 and 1")
     keys = list(keys)
-    other = retrieved.select(*keys, F.col("embedding").alias("candidate"))
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("embedding"), F.col("candidate"))))
-    best = (
-        references.join(other, keys, "left")
-        .groupBy(*keys, "reference_id")
-        .agg(F.coalesce(F.max(F.when(F.col("candidate").isNotNull(), value)), F.lit(-1.0)).alias("best"))
-    )
+    # Equal vectors of a case are compared once. Stored, as they may come from an embedder.
+    rows = cut_lineage(references.select(*keys, "reference_id", "embedding").distinct())
+    # New columns, as both sides may come from one frame.
+    given = retrieved.select(*[F.col(k).alias(k) for k in keys], F.col("embedding").alias("candidate"))
+    other = cut_lineage(given.where(F.col("candidate").isNotNull()).distinct())
+    sizes = [df.groupBy(*keys).agg(F.ceil(F.count("*") / COSINE_ROWS).alias(f"{name}_blocks")) for name, df in (("left", rows), ("right", other))]
+    grid = small_side(cut_lineage(sizes[0].join(sizes[1], keys)))
+
+    def blocks(df: DataFrame, own: str, across: str, *columns: str) -> DataFrame:
+        """Each row in one block of its side, copied to all blocks of the other side."""
+        place = F.pmod(F.xxhash64(*columns), F.col(f"{own}_blocks")).alias(f"{own}_block")
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{across}_blocks") - 1)).alias(f"{across}_block")
+        return df.join(grid, keys).select(*keys, *columns, place, copies)
+
+    by = [*keys, "left_block", "right_block"]
+    left = blocks(rows, "left", "right", "reference_id", "embedding").groupBy(*by)
+    right = blocks(other, "right", "left", "candidate").groupBy(*by)
+    plain = rows.select(*keys, "reference_id", F.lit(-1.0).alias("best"))
+    names = [*keys, "reference_id"]
+
+    def score(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            return some.select(names).slice(0, 0).append_column("best", pa.array([], pa.float64()))
+        found = best_cosines(some["embedding"].combine_chunks(), others["candidate"].combine_chunks())
+        return some.select(names).append_column("best", pa.array(found))
+
+    met = left.cogroup(right).applyInArrow(score, plain.schema)
+    best = plain.unionByName(met).groupBy(*names).agg(F.max("best").alias("best"))
     covered = (F.round("best", 12) >= threshold).cast("double")
     return best.groupBy(*keys).agg(
         F.count("*").alias("reference_count"),
