@@ -15,6 +15,9 @@ K1 = 1.2
 B = 0.75
 # Every document carries one posting of this pseudo term; it holds the totals.
 TOTALS = ""
+# Pairs of a question and a document in one partition, at most, and the most partitions.
+PAIRS_PER_PART = 500_000
+MAX_PARTS = 20_000
 
 
 def check_parameters(k1: float, b: float) -> None:
@@ -78,6 +81,17 @@ def term_weights(terms: DataFrame, statistics: DataFrame) -> DataFrame:
     )
 
 
+def score_parts(documents: DataFrame, queries: DataFrame) -> int:
+    """Partitions of the documents that bound the scores of each.
+
+    Adaptive execution would merge partitions by the bytes of their postings, but in the
+    next step a posting becomes a row for every question that has its term.
+    """
+    pairs = documents.count() * queries.count()
+    least = documents.sparkSession.sparkContext.defaultParallelism
+    return min(max(-(-pairs // PAIRS_PER_PART), least), MAX_PARTS)
+
+
 def bm25_scores(
     corpus: DataFrame,
     queries: DataFrame,
@@ -100,10 +114,11 @@ def bm25_scores(
     small = fits(terms)
     hint = F.broadcast if small else (lambda df: df)
     source = postings(corpus) if index is None else index
+    documents = corpus if index is None else index.where(F.col("term") == TOTALS)
     asked = (
         source.join(hint(vocabulary), "term", "left_semi")
         .select("object_id", "term", "tf", "doc_len")
-        .repartition("object_id")
+        .repartition(score_parts(documents.select("object_id"), queries.select("query_id")), "object_id")
     )
     weights = term_weights(terms, corpus_statistics(asked))
     tf = F.col("tf").cast("double")
