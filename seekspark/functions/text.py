@@ -6,7 +6,7 @@ import bisect
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -119,6 +119,35 @@ def lexical_tokens(value: Column) -> Column:
     return F.when(value.rlike(CJK), mixed).otherwise(words)
 
 
+_TOKEN = re.compile("[\u3400-\u9fff]+|[^\\W_]+")
+_CJK_START = re.compile("[\u3400-\u9fff]")
+_FOLDS = [*zip(*_FOLD_ONE), *_FOLD_MANY.items()]
+
+
+def token_counter(known: Mapping[str, int]) -> Callable[[str], tuple[int, list[int]]]:
+    """A function that gives how many ``lexical_tokens`` a text has, and the numbers of
+    those that are ``known``, in any order; it reads the text in plain Python."""
+    words = {token[5:]: n for token, n in known.items() if token.startswith("word:")}
+
+    def count(text: str) -> tuple[int, list[int]]:
+        folded = text.lower()
+        plain = folded.isascii()
+        for letter, replacement in () if plain else _FOLDS:
+            folded = folded.replace(letter, replacement)
+        found = _TOKEN.findall(folded)
+        size = len(found)
+        numbers = [words[token] for token in found if token in words]
+        if not plain and _CJK_START.search(folded):
+            runs = [token for token in found if _CJK_START.match(token)]
+            size += sum(2 * len(run) - 2 for run in runs)
+            letters = ["cjk:" + letter for run in runs for letter in run]
+            pairs = ["cjk2:" + run[i : i + 2] for run in runs for i in range(len(run) - 1)]
+            numbers += [known[token] for token in letters + pairs if token in known]
+        return size, numbers
+
+    return count
+
+
 def run_lengths(tokens: Column) -> Column:
     """Distinct tokens of one row with their counts, in token order, without a shuffle."""
 

@@ -35,6 +35,11 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+def best_positions(scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best scores; of equal ones the earlier are taken."""
+    return _best(np.arange(len(scores)), scores, k)[0]
+
+
 def _products(queries: np.ndarray, block: np.ndarray, limit: int = MAX_PRODUCT_VALUES) -> Iterator[np.ndarray]:
     """The scores of each query, by matrix products of at most ``limit`` values."""
     step = max(limit // max(len(block), 1), 1)

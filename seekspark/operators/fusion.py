@@ -11,6 +11,8 @@ from seekspark.scale import small_side
 
 # Scores are compared after this rounding, so summation order never decides a tie.
 SCORE_DIGITS = 12
+# Chunks of a path that count, in path limits.
+PATH_DEPTH = 2
 
 
 def score_order(score: str = "score", tie: str = "object_id") -> list[Column]:
@@ -27,13 +29,22 @@ def top_k(
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def min_max(df: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
+def flat_bounds(lo: float, hi: float) -> bool:
+    """True when all scores between ``lo`` and ``hi`` count as equal."""
+    return abs(hi - lo) <= 1e-9 * max(abs(hi), abs(lo))
+
+
+def min_max(
+    df: DataFrame, by: Sequence[str], score: str = "score", bounds: DataFrame | None = None
+) -> DataFrame:
     """Add ``normalized``: scores scaled to 0..1 per key, all 1 when they are equal.
 
     The bounds come from a partial aggregate, not from a window: a key holding most
-    of the rows is reduced map-side and never gathered in one task.
+    of the rows is reduced map-side and never gathered in one task. When ``df`` holds only
+    some rows of a key, ``bounds(*by, lo, hi)`` are those over all of them.
     """
-    bounds = df.groupBy(*by).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    if bounds is None:
+        bounds = df.groupBy(*by).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
     flat = F.abs(hi - lo) <= 1e-9 * F.greatest(F.abs(hi), F.abs(lo))
     scaled = F.when(flat, F.lit(1.0)).otherwise((F.col(score) - lo) / (hi - lo))
@@ -200,7 +211,7 @@ def inject_paths(paths: DataFrame, path_chunks: DataFrame, path_limit: int) -> D
     # take at most path_limit; twice that many are enough for an exact result.
     per_path = Window.partitionBy("query_id", "relation_ids").orderBy("object_id")
     near = path_chunks.withColumn("place", F.row_number().over(per_path)).where(
-        F.col("place") <= 2 * path_limit
+        F.col("place") <= PATH_DEPTH * path_limit
     )
     first = (
         near.join(eligible, ["query_id", "relation_ids"])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,17 +18,19 @@ from seekspark.functions.vectors import embed_column, sigmoid
 from seekspark.operators.blockmax import search
 from seekspark.operators.dense import collect_queries, dense_top_k
 from seekspark.operators.fusion import (
-    SCORE_DIGITS, budget_fold, document_anchors, inject_paths, min_max, top_k,
+    PATH_DEPTH, SCORE_DIGITS, budget_fold, document_anchors, inject_paths, min_max, top_k,
     top_k_with_anchors, weighted_average_fusion,
 )
 from seekspark.operators.graph import adjacency, shortest_paths
 from seekspark.operators.lexical import bm25_top_k
+from seekspark.operators.linked import linked_scores
 from seekspark.plans.indexing import Index
 from seekspark.plans.options import RetrievalOptions, active_routes
 from seekspark.scale import computed_once, cut_lineage, small_side
 
 RELATION_DECAY = 0.9
 PATH_ENDPOINTS = 6
+SEPARATOR = "\x1f"
 
 
 class Reranker(Protocol):
@@ -42,12 +44,16 @@ class Reranker(Protocol):
 
 @dataclass
 class Route:
-    """Score tables of one route: chunks, entities, relations as query_id, object_id, score."""
+    """Score tables of one route: chunks, entities, relations as query_id, object_id, score.
+
+    ``linked`` are the objects, with their kind, whose links gave the chunks of a graph route.
+    """
 
     chunks: DataFrame
     entities: DataFrame | None = None
     relations: DataFrame | None = None
     details: DataFrame | None = None
+    linked: DataFrame | None = None
 
 
 @dataclass
@@ -115,7 +121,7 @@ def chunk_route(asked: _Asked, mode: str, options: RetrievalOptions) -> Route:
             lexical = search(index.lexical, asked.texts, limit, options.bm25_k1, options.bm25_b).hits
         else:
             corpus = index.chunks.select("object_id", F.col("embedding_text").alias("text"))
-            lexical = bm25_top_k(corpus, asked.texts, limit, options.bm25_k1, options.bm25_b)
+            lexical = bm25_top_k(corpus, asked.texts, limit, options.bm25_k1, options.bm25_b, blocks=True)
         parts.append(lexical.select(*columns, F.lit("bm25").alias("scorer")))
     # At most 2 x limit rows per question: stored once, then read by every later step.
     scores = cut_lineage(_union(parts))
@@ -123,12 +129,16 @@ def chunk_route(asked: _Asked, mode: str, options: RetrievalOptions) -> Route:
     return Route(chunks=fused.select(*columns), details=fused)
 
 
-def _linked(scored: DataFrame, index: Index, kind: str) -> DataFrame:
-    """Chunks behind scored objects. The scored side has at most limit rows per query."""
-    links = index.links.where(F.col("kind") == kind).select("object_id", "chunk_id")
-    return links.join(small_side(scored), "object_id").select(
+def _linked(scored: DataFrame, index: Index) -> DataFrame:
+    """Best score of every chunk behind ``query_id, kind, object_id, score``."""
+    links = index.links.select("kind", "object_id", "chunk_id")
+    return _best(links.join(small_side(scored), ["kind", "object_id"]).select(
         "query_id", F.col("chunk_id").alias("object_id"), "score"
-    )
+    ))
+
+
+def _of_kind(scored: DataFrame, kind: str) -> DataFrame:
+    return scored.select("query_id", F.lit(kind).alias("kind"), "object_id", "score")
 
 
 def _best(scores: DataFrame) -> DataFrame:
@@ -154,10 +164,8 @@ def local_route(asked: _Asked, options: RetrievalOptions) -> Route:
             "query_id", F.col("relation_id").alias("object_id"), (F.col("score") * RELATION_DECAY).alias("score")
         )
     )
-    chunks = _best(
-        _linked(entities, index, "entity").unionByName(_linked(relations, index, "relation"))
-    )
-    return Route(chunks=chunks, entities=entities, relations=relations)
+    linked = _of_kind(entities, "entity").unionByName(_of_kind(relations, "relation"))
+    return Route(chunks=_linked(linked, index), entities=entities, relations=relations, linked=linked)
 
 
 def global_route(asked: _Asked, options: RetrievalOptions) -> Route:
@@ -169,7 +177,8 @@ def global_route(asked: _Asked, options: RetrievalOptions) -> Route:
         small_side(relations.withColumnRenamed("object_id", "relation_id")), "relation_id"
     )
     entities = _best(ends.select("query_id", F.col("entity_id").alias("object_id"), "score"))
-    return Route(chunks=_best(_linked(relations, index, "relation")), entities=entities, relations=relations)
+    linked = _of_kind(relations, "relation")
+    return Route(chunks=_linked(linked, index), entities=entities, relations=relations, linked=linked)
 
 
 def run_route(asked: _Asked, route: str, options: RetrievalOptions) -> Route:
@@ -209,15 +218,48 @@ def graph_paths(index: Index, routes: dict[str, Route], options: RetrievalOption
 
 
 def path_scores(index: Index, paths: DataFrame, options: RetrievalOptions) -> DataFrame:
+    """Chunks of the paths of two or more steps. ``inject_paths`` reads the first chunks of a
+    path, so only that many of each relation are joined with the questions' paths."""
     steps = paths.where(F.size("relation_ids") >= 2).select(
         "query_id", "relation_ids", F.explode("relation_ids").alias("object_id")
     )
-    links = index.links.where(F.col("kind") == "relation").select("object_id", "chunk_id")
-    chunks = links.join(small_side(steps), "object_id").select(
+    links = index.links.where(F.col("kind") == "relation").join(
+        small_side(steps.select("object_id").distinct()), "object_id", "left_semi"
+    ).select("object_id", "chunk_id").distinct()
+    valid = links.join(index.chunks.select(F.col("object_id").alias("chunk_id")), "chunk_id", "left_semi")
+    order = Window.partitionBy("object_id").orderBy("chunk_id")
+    first = valid.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PATH_DEPTH * options.path_limit)
+    chunks = cut_lineage(first).join(small_side(steps), "object_id").select(
         "query_id", "relation_ids", F.col("chunk_id").alias("object_id")
     ).distinct()
-    valid = chunks.join(index.chunks.select("object_id"), "object_id", "left_semi")
-    return inject_paths(paths, valid, options.path_limit)
+    return inject_paths(paths, chunks, options.path_limit)
+
+
+def subquestions(questions: DataFrame) -> DataFrame:
+    """``query_id, part, parts, text`` of the sub-questions of explicit comparisons."""
+    return questions.select("query_id", comparison_subqueries(F.col("question")).alias("subs")).select(
+        "query_id", F.size("subs").alias("parts"), F.posexplode("subs").alias("part", "text")
+    )
+
+
+def _with_subquestions(index: Index, ready: DataFrame, options: RetrievalOptions) -> tuple[Route, DataFrame | None]:
+    """The hybrid route of the questions and the scores of their sub-questions, asked in one
+    pass over the chunks; the latter as ``subquestion_route`` gives them."""
+    parts = cut_lineage(subquestions(ready))
+    if parts.isEmpty():
+        return chunk_route(_Asked(index, ready), "hybrid", options), None
+    named = parts.withColumn("asked_id", F.concat(F.lit("sub" + SEPARATOR), F.col("part").cast("string"), F.lit(SEPARATOR), "query_id"))
+    both = ready.select(F.concat(F.lit("own" + SEPARATOR), "query_id").alias("query_id"), "text").unionByName(
+        named.select(F.col("asked_id").alias("query_id"), "text")
+    )
+    scores = chunk_route(_Asked(index, both), "hybrid", options).details
+    own = scores.where(F.col("query_id").startswith("own"))
+    own = own.withColumn("query_id", F.substr("query_id", F.lit(len("own" + SEPARATOR) + 1)))
+    names = named.select("asked_id", F.col("query_id").alias("parent"), "part", "parts")
+    found = scores.join(small_side(names), F.col("query_id") == F.col("asked_id")).select(
+        F.col("parent").alias("query_id"), "part", "parts", "object_id", "score"
+    )
+    return Route(chunks=own.select("query_id", "object_id", "score"), details=own), cut_lineage(found)
 
 
 def subquestion_route(
@@ -227,11 +269,9 @@ def subquestion_route(
 
     Output ``query_id, part, parts, object_id, score``.
     """
-    parts = questions.select("query_id", comparison_subqueries(F.col("question")).alias("subs")).select(
-        "query_id", F.size("subs").alias("parts"), F.posexplode("subs").alias("part", "text")
-    )
+    parts = subquestions(questions)
     keyed = parts.withColumn("parent", F.col("query_id")).withColumn(
-        "query_id", F.concat_ws("\x1f", "query_id", F.col("part").cast("string"))
+        "query_id", F.concat_ws(SEPARATOR, "query_id", F.col("part").cast("string"))
     )
     if keyed.isEmpty():
         return None
@@ -245,23 +285,38 @@ def subquestion_route(
 
 def fuse(
     routes: dict[str, Route], weights: dict[str, float], paths: DataFrame | None,
-    subs: DataFrame | None, options: RetrievalOptions,
+    subs: DataFrame | None, options: RetrievalOptions, index: Index | None = None, limit: int = 0,
 ) -> DataFrame:
     """``query_id, object_id, score, raw_score`` and one column per signal, all added.
 
     Every signal is a long table; one hash aggregate per (question, chunk) adds them, so
     no wide outer join is needed and nothing is collected per chunk.
+
+    Graph routes score every chunk that an object of a question links to. With ``index``
+    only chunks are returned that can be among the ``limit`` best, or that another signal
+    scores: no signal is negative, so any other chunk stays behind ``limit`` chunks that
+    the graph routes alone place before it. Their scores are the same as among all chunks.
     """
     frames = []
+    key = ["query_id", "component"]
 
-    def add(scores: DataFrame, component: Column, weight: Column | float) -> None:
-        scaled = min_max(scores.withColumn("component", component), ["query_id", "component"])
+    def add(scores: DataFrame, component: Column, weight: Column | float, bounds: DataFrame | None = None) -> None:
+        scaled = min_max(scores.withColumn("component", component), key, bounds=bounds)
         value = (F.col("normalized") * weight).alias("value")
         frames.append(scaled.select("query_id", "object_id", "component", value, F.col("score").alias("raw")))
 
     names = list(routes)
+    wide = {name: route.linked for name, route in routes.items() if route.linked is not None}
+    found = linked_scores(index.links, wide) if index is not None and wide else None
+    if found is not None:
+        few = [r.chunks for name, r in routes.items() if name not in wide] + [df for df in (paths, subs) if df is not None]
+        kept = [df.select("query_id", "object_id") for df in (*few, found.best(weights, limit))]
+        of_graph = cut_lineage(found.of(cut_lineage(_union(kept).distinct())))
     for name, route in routes.items():
-        add(route.chunks.select("query_id", "object_id", "score"), F.lit(name), weights[name])
+        if found is not None and name in wide:
+            add(of_graph.where(F.col("component") == name).drop("component"), F.lit(name), weights[name], found.bounds)
+        else:
+            add(route.chunks.select("query_id", "object_id", "score"), F.lit(name), weights[name])
     if paths is not None:
         names.append("graph_path")
         add(paths, F.lit("graph_path"), options.graph_path_weight)
@@ -426,22 +481,28 @@ def retrieve(
     composite = active_routes(mode, options)
     ready = prepare_questions(questions)
     asked = _Asked(index, ready)
-    routes = {name: run_route(asked, name, options) for name in (composite or (mode,))}
-    paths = injected = subs = anchors = None
+    limit = options.rerank_limit if options.rerank else options.top_k
+    routes, subs = {}, None
+    with_subs = "hybrid" in composite and options.multi_context_weight > 0.0
+    for name in composite or (mode,):
+        if name == "hybrid" and with_subs:
+            routes[name], subs = _with_subquestions(index, ready, options)
+        else:
+            routes[name] = run_route(asked, name, options)
+    paths = injected = anchors = None
     if composite:
         paths = graph_paths(index, routes, options)
         if options.graph_path_weight > 0.0:
             injected = cut_lineage(path_scores(index, paths, options))
-        if options.multi_context_weight > 0.0:
+        if options.multi_context_weight > 0.0 and not with_subs:
             subs = subquestion_route(index, ready, options)
-        fused = fuse(routes, options.route_weights, injected, subs, options)
+        fused = fuse(routes, options.route_weights, injected, subs, options, index, limit)
     else:
         own = routes[mode].chunks
         fused = own.select(
             "query_id", "object_id", "score", F.col("score").alias("raw_score"),
             F.col("score").alias(f"part_{mode}"),
         )
-    limit = options.rerank_limit if options.rerank else options.top_k
     if subs is not None:
         anchors = cut_lineage(_anchors(index, subs, fused, limit, options))
         candidates = top_k_with_anchors(fused, anchors, limit)
