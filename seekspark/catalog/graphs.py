@@ -13,6 +13,7 @@ from seekspark.catalog.registry import Tables, query
 from seekspark.functions.text import paragraphs
 from seekspark.operators import chunking, extraction, graph, resolution
 from seekspark.operators.quality import quality_class
+from seekspark.scale import cut_lineage, small_side
 
 GRAPH_SQL = """rel AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS t, l_returnflag AS predicate,
   's' || l_suppkey || '-p' || l_partkey || '-' || l_returnflag AS relation_id FROM lineitem),
@@ -80,9 +81,16 @@ def shared_line_components(t: Tables) -> DataFrame:
     lines = t.documents.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("src"),
         F.explode(F.split("text", "\n")).alias("line"),
-    ).where(F.length("line") > 0)
-    edges = lines.select("src", F.concat(F.lit("l"), F.sha2("line", 256)).alias("dst")).distinct()
-    return graph.connected_components(edges).where(F.col("node").startswith("d"))
+    ).where((F.length("line") > 0) & F.col("src").isNotNull())
+    # A line is told by 128 bits of its hash, and links every document with the first one.
+    hashed = lines.select("src", F.substring(F.unhex(F.sha2("line", 256)), 1, 16).alias("line"))
+    shared = hashed.groupBy("line").agg(F.min("src").alias("dst"), F.max("src").alias("last")).where("dst < last").drop("last")
+    shared = cut_lineage(shared)
+    edges = hashed.join(small_side(shared), "line").select("src", "dst").where("src <> dst").distinct()
+    found = graph.connected_components(edges)
+    return hashed.select(F.col("src").alias("node")).distinct().join(found, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")
+    )
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT entity_id, relation_id, neighbor_id, direction FROM adj""")

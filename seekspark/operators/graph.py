@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekspark.scale import cut_lineage, small_side, split_hot_join
+from seekspark.scale import cut_lineage, free_storage, small_side, split_hot_join
 
 # A node with more neighbour rows than this is joined by broadcast, not by shuffle.
 HOT_NODE_ROWS = 1_000_000
@@ -57,6 +57,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         pairs = cut_lineage(
             small.unionByName(star.select("u", F.col("low").alias("v"))).distinct()
         )
+        del both, large, star, small
+        free_storage(pairs.sparkSession)
     else:
         raise RuntimeError("components did not converge")
     roots = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
