@@ -75,6 +75,14 @@ def _records(usable: DataFrame, field: str) -> DataFrame:
     )
 
 
+def _located(typed: DataFrame) -> DataFrame:
+    """``verbatim`` and the ``span`` of the quote instead of the chunk's text, which would
+    otherwise be exchanged and stored with each record."""
+    return typed.withColumns({
+        "verbatim": F.contains("chunk_text", "quote"), "span": verbatim_span(F.col("quote"), F.col("chunk_text")),
+    }).drop("chunk_text")
+
+
 def validate_entities(usable: DataFrame) -> DataFrame:
     """One row per raw entity with ``reason`` NULL when accepted."""
     raw = _records(usable, "entities")
@@ -107,9 +115,7 @@ def validate_entities(usable: DataFrame) -> DataFrame:
         & _sized(F.col("quote"), MAX_QUOTE)
         & aliases_ok
     )
-    checked = typed.withColumn("schema_ok", F.coalesce(schema_ok, F.lit(False))).withColumn(
-        "verbatim", F.contains("chunk_text", "quote")
-    )
+    checked = _located(typed).withColumn("schema_ok", F.coalesce(schema_ok, F.lit(False)))
     within = F.col("index") < MAX_ENTITIES
     good = within & F.col("schema_ok") & F.col("verbatim")
     same_ref = Window.partitionBy("extraction_id", "ref").orderBy("index")
@@ -154,7 +160,7 @@ def validate_relations(usable: DataFrame, entities: DataFrame) -> DataFrame:
         )
 
     joined = (
-        typed.join(room, "extraction_id", "left")
+        _located(typed).join(room, "extraction_id", "left")
         .join(end("source"), ["extraction_id", "source_ref"], "left")
         .join(end("target"), ["extraction_id", "target_ref"], "left")
     )
@@ -170,7 +176,6 @@ def validate_relations(usable: DataFrame, entities: DataFrame) -> DataFrame:
     checked = joined.select(
         "*",
         F.coalesce(schema_ok, F.lit(False)).alias("schema_ok"),
-        F.contains("chunk_text", "quote").alias("verbatim"),
         (F.col("index") < MAX_RECORDS - F.coalesce("taken", F.lit(0))).alias("within"),
         (F.col("source_mention_id").isNotNull() & F.col("target_mention_id").isNotNull()).alias("linked"),
     )
@@ -197,9 +202,7 @@ def validate_relations(usable: DataFrame, entities: DataFrame) -> DataFrame:
 
 def accepted_mentions(records: DataFrame) -> DataFrame:
     """Accepted records with the offsets of their evidence quote."""
-    return records.where(F.col("reason").isNull()).withColumn(
-        "span", verbatim_span(F.col("quote"), F.col("chunk_text"))
-    )
+    return records.where(F.col("reason").isNull())
 
 
 def extraction_quality(entities: DataFrame, relations: DataFrame) -> DataFrame:

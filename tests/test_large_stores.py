@@ -5,6 +5,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 from seekspark.catalog import graphs
+from seekspark.operators import extraction
 
 
 def test_only_shared_lines_reach_the_component_search(spark, monkeypatch):
@@ -18,3 +19,23 @@ def test_only_shared_lines_reach_the_component_search(spark, monkeypatch):
     wanted = {f"d{i}": f"d{i}" for i in range(20)} | {"d30": "d30", "d31": "d30", "d32": "d30", "d4": "d30"}
     assert found == wanted
     assert seen[0] <= 3  # 64 when every line was a node
+
+
+def test_checked_records_do_not_carry_the_text(spark):
+    entity = '{"ref":"%s","name":"%s","entity_type":"other","description":"d","aliases":[],"evidence_quotes":["%s"]}'
+    relation = '{"source_ref":"e1","target_ref":"e2","predicate":"LINKS","description":"d","evidence_quotes":["beta"]}'
+    content = '{"entities":[%s,%s],"relations":[%s]}' % (entity % ("e1", "a", "alpha"), entity % ("e2", "b", "absent"), relation)
+    content = content.replace("absent", "beta")
+    rows = [("x1", "c1", "alpha beta " + "long " * 100, content, "stop"), ("x2", "c2", "alpha only", content, "stop")]
+    usable = extraction.classify_completions(
+        spark.createDataFrame(rows, "extraction_id string, chunk_id string, chunk_text string, content string, finish_reason string")
+    ).where("failure IS NULL")
+    entities = extraction.validate_entities(usable)
+    relations = extraction.validate_relations(usable, entities)
+    for checked in (entities, relations):
+        assert "chunk_text" not in checked.columns
+    spans = {(r["extraction_id"], r["ref"]): tuple(r["span"]) for r in extraction.accepted_mentions(entities).collect()}
+    assert spans == {("x1", "e1"): (0, 5), ("x1", "e2"): (6, 10), ("x2", "e1"): (0, 5)}
+    assert [(r["extraction_id"], tuple(r["span"])) for r in extraction.accepted_mentions(relations).collect()] == [("x1", (6, 10))]
+    reasons = {(r["extraction_id"], r["index"]): r["reason"] for r in relations.collect()}
+    assert reasons == {("x1", 0): None, ("x2", 0): "missing_endpoint"}
