@@ -14,6 +14,7 @@ from seekspark.catalog.texts import questions, ranked_sql, rounded
 from seekspark.operators import metrics
 from seekspark.plans import retrieval as plan
 from seekspark.plans.agent import AgentRunner
+from seekspark.scale import cut_lineage
 from seekspark.streaming import events as stream
 
 
@@ -47,10 +48,11 @@ def _modes_sql() -> str:
 @query(_modes_sql())
 def evaluated_modes(t: Tables) -> DataFrame:
     """Two strategies on the same cases: macro means of hits and delivered context."""
-    index, truth = document_index(t), gold_identities(t)
+    index, truth = document_index(t), cut_lineage(gold_identities(t))
+    asked = plan._Asked(index, plan.prepare_questions(questions(t)))
     frames = []
     for mode in ("bm25", "hybrid"):
-        found = plan.retrieve(index, questions(t), mode)
+        found = plan.retrieve(index, questions(t), mode, asked=asked)
         for scope, rows, rank in (("hits", found.hits, "rank"), ("context", found.context, "position")):
             ranked = rows.select(
                 F.col("query_id").alias("case_id"), F.col(rank).alias("rank"), F.col("object_id").alias("identity")

@@ -89,11 +89,24 @@ def prepare_questions(questions: DataFrame) -> DataFrame:
 
 
 class _Asked:
-    """Expanded questions with their vectors, collected at most once per batch."""
+    """Expanded questions with their vectors, collected at most once per batch, and their
+    best BM25 scores, counted once whatever modes ask for them."""
 
     def __init__(self, index: Index, texts: DataFrame) -> None:
         self.index, self.texts = index, texts.select("query_id", "text")
         self._vectors = self._collected = None
+        self._lexical: dict[tuple, DataFrame] = {}
+
+    def lexical(self, k: int, k1: float, b: float) -> DataFrame:
+        index = self.index
+        if (k, k1, b) not in self._lexical:
+            if index.lexical is not None:
+                found = search(index.lexical, self.texts, k, k1, b).hits
+            else:
+                corpus = index.chunks.select("object_id", F.col("embedding_text").alias("text"))
+                found = bm25_top_k(corpus, self.texts, k, k1, b, blocks=True)
+            self._lexical[k, k1, b] = cut_lineage(found.select("query_id", "object_id", "score"))
+        return self._lexical[k, k1, b]
 
     def top(self, vectors: DataFrame, k: int) -> DataFrame:
         embedder = self.index.embedder
@@ -117,11 +130,7 @@ def chunk_route(asked: _Asked, mode: str, options: RetrievalOptions) -> Route:
     if weights.get("dense", 0.0) > 0.0:
         parts.append(asked.top(index.chunks, limit).select(*columns, F.lit("dense").alias("scorer")))
     if weights.get("bm25", 0.0) > 0.0:
-        if index.lexical is not None:
-            lexical = search(index.lexical, asked.texts, limit, options.bm25_k1, options.bm25_b).hits
-        else:
-            corpus = index.chunks.select("object_id", F.col("embedding_text").alias("text"))
-            lexical = bm25_top_k(corpus, asked.texts, limit, options.bm25_k1, options.bm25_b, blocks=True)
+        lexical = asked.lexical(limit, options.bm25_k1, options.bm25_b)
         parts.append(lexical.select(*columns, F.lit("bm25").alias("scorer")))
     # At most 2 x limit rows per question: stored once, then read by every later step.
     scores = cut_lineage(_union(parts))
@@ -472,15 +481,18 @@ def context_support(context: DataFrame, routes: dict[str, Route], index: Index)
 
 def retrieve(
     index: Index, questions: DataFrame, mode: str = "mix",
-    options: RetrievalOptions | None = None, reranker: Reranker | None = None,
+    options: RetrievalOptions | None = None, reranker: Reranker | None = None, asked: _Asked | None = None,
 ) -> Retrieval:
-    """Answer all ``questions(query_id, text[, keywords])`` with one strategy."""
+    """Answer all ``questions(query_id, text[, keywords])`` with one strategy.
+
+    ``asked`` are the same questions prepared; calls that share it share scorers' results.
+    """
     options = options or RetrievalOptions()
     if options.rerank and reranker is None:
         raise ValueError("reranking was requested but no reranker is configured")
     composite = active_routes(mode, options)
     ready = prepare_questions(questions)
-    asked = _Asked(index, ready)
+    asked = asked or _Asked(index, ready)
     limit = options.rerank_limit if options.rerank else options.top_k
     routes, subs = {}, None
     with_subs = "hybrid" in composite and options.multi_context_weight > 0.0

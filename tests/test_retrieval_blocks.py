@@ -130,3 +130,26 @@ def test_path_chunks_are_cut_per_relation(index, asked):
     steps = found.paths.where(F.size("relation_ids") >= 2).select("query_id", "relation_ids", F.explode("relation_ids").alias("object_id"))
     every = index.links.where("kind = 'relation'").join(steps, "object_id").select("query_id", "relation_ids", F.col("chunk_id").alias("object_id")).distinct()
     assert {tuple(r) for r in scores.collect()} == {tuple(r) for r in fusion.inject_paths(found.paths, every, options.path_limit).collect()}
+
+
+def test_modes_that_share_questions_count_the_corpus_once(index, asked, monkeypatch):
+    counted, top = [], plan.bm25_top_k
+    monkeypatch.setattr(plan, "bm25_top_k", lambda *args, **more: counted.append(args) or top(*args, **more))
+    shared = plan._Asked(index, plan.prepare_questions(asked))
+    both = [_hits(plan.retrieve(index, asked, mode, asked=shared)) for mode in ("bm25", "hybrid")]
+    assert len(counted) == 1
+    assert both == [_hits(plan.retrieve(index, asked, mode)) for mode in ("bm25", "hybrid")]
+
+
+def test_evaluated_modes_match_the_gold_once(spark, monkeypatch):
+    from seekspark.catalog import runs
+
+    draw = random.Random(11)
+    rows = [(i, " ".join(draw.choices(WORDS, k=20)), "s", "en") for i in range(20)]
+    documents = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string")
+    benchmark = spark.createDataFrame([(i, rows[i][1]) for i in range(3)], "item_id int, text string")
+    stored, keep = [], runs.cut_lineage
+    monkeypatch.setattr(runs, "cut_lineage", lambda df: stored.append(df.columns) or keep(df))
+    found = runs.evaluated_modes(SimpleNamespace(documents=documents, benchmark=benchmark)).collect()
+    assert stored == [["case_id", "identity"]]
+    assert {(r["mode"], r["scope"], r["hit_at_k"]) for r in found} == {(m, s, 1.0) for m in ("bm25", "hybrid") for s in ("hits", "context")}
