@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+from seekspark import scale
 from seekspark.catalog import graphs
-from seekspark.operators import extraction
+from seekspark.operators import extraction, graph
 
 
 def test_only_shared_lines_reach_the_component_search(spark, monkeypatch):
@@ -39,3 +40,36 @@ def test_checked_records_do_not_carry_the_text(spark):
     assert [(r["extraction_id"], tuple(r["span"])) for r in extraction.accepted_mentions(relations).collect()] == [("x1", (6, 10))]
     reasons = {(r["extraction_id"], r["index"]): r["reason"] for r in relations.collect()}
     assert reasons == {("x1", 0): None, ("x2", 0): "missing_endpoint"}
+
+
+def test_path_search_stores_each_linked_pair_once(spark, monkeypatch):
+    edges = [(f"a{i}", f"b{j}") for i in range(6) for j in range(6)] + [("b3", "a2"), ("a1", "a1")]
+    relations = spark.createDataFrame(
+        [(f"{x}>{y}#{n}", x, y) for x, y in edges for n in range(3)], "relation_id string, source_entity_id string, target_entity_id string"
+    )
+    stored, keep = [], graph.compact
+    monkeypatch.setattr(graph, "compact", lambda df: stored.append(df.count()) or keep(df))
+    pairs = spark.createDataFrame([("a0", "b0"), ("a0", "a5"), ("b1", "b2")], "source string, target string")
+    found = {(r["source"], r["target"]): (r["node_ids"], r["relation_ids"]) for r in graph.shortest_paths(pairs, relations, 3).collect()}
+    assert found == {
+        ("a0", "b0"): (["a0", "b0"], ["a0>b0#0"]),
+        ("a0", "a5"): (["a0", "b0", "a5"], ["a0>b0#0", "a5>b0#0"]),
+        ("b1", "b2"): (["b1", "a0", "b2"], ["a0>b1#0", "a0>b2#0"]),
+    }
+    assert stored[0] == 36  # 72 when both directions were stored
+
+
+def test_path_search_with_many_ends(spark, monkeypatch):
+    edges = {(f"a{i}", f"b{(i * k) % 20}") for i in range(20) for k in (1, 7)}
+    relations = spark.createDataFrame(
+        [(f"{a}>{b}", a, b) for a, b in edges], "relation_id string, source_entity_id string, target_entity_id string"
+    )
+    pairs = spark.createDataFrame([(f"a{i}", f"{x}{j}") for i in range(0, 20, 3) for j in range(20) for x in "ab"], "source string, target string")
+
+    def rows():
+        return {(r["source"], r["target"], *r["node_ids"], *r["relation_ids"]) for r in graph.shortest_paths(pairs, relations, 3).collect()}
+
+    few = rows()
+    monkeypatch.setattr(graph, "NARROW_ROWS", 3)
+    monkeypatch.setattr(graph, "small_side", lambda df, most=2: scale.small_side(df, 2))
+    assert rows() == few and few
